@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontaminate
+from .language_id import op2_language
+from .license_scan import op6_licenses
 from .near_dedup import op1_near_dedup
+from .packing import op9_packing
+from .secret_scan import op3_secrets
 from .sharding import op4_sharding
+from .toxicity import op10_toxicity
+from .training_order import op5_training_order
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_language": op2_language,
+    "op3_secrets": op3_secrets,
     "op4_sharding": op4_sharding,
+    "op5_training_order": op5_training_order,
+    "op6_licenses": op6_licenses,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB has no xxhash64, CRC-32, tokenizer or graph search, so these queries are tested against brute force instead.
