@@ -52,7 +52,7 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable
 
     def run(batches):
         for batch in batches:
-            out = fn(batch)
+            out = fn(batch) if batch.num_rows else None
             if out is not None and out.num_rows:
                 yield out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op7_nearest
 from .decontaminate import op8_decontaminate
 from .language_id import op2_language
 from .license_scan import op6_licenses
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_training_order": op5_training_order,
     "op6_licenses": op6_licenses,
+    "op7_nearest": op7_nearest,
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
