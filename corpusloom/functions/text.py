@@ -164,12 +164,15 @@ def vague(c: Column, most_words: int = 3) -> Column:
 
 def coverage_score(text: Column, query: Column) -> Column:
     """0.7 of the share of query terms in the text and 0.3 of how early the first stands, at most 1; null without terms."""
-    terms = words(F.lower(query))
-    low = F.lower(text)
-    hits = F.filter(terms, lambda t: F.contains(low, t))
-    first = F.array_min(F.transform(hits, lambda t: F.instr(low, t) - 1))
-    early = F.when(F.size(hits) > 0, 1 - first / F.greatest(F.lit(1), F.length(text))).otherwise(F.lit(0.0))
-    return F.when(F.size(terms) > 0, F.least(F.lit(1.0), F.lit(0.7) * F.size(hits) / F.size(terms) + F.lit(0.3) * early))
+    def score(terms: Column, low: Column, hits: Column) -> Column:
+        first = F.array_min(F.transform(hits, lambda t: F.instr(low, t) - 1))
+        early = F.when(F.size(hits) > 0, 1 - first / F.greatest(F.lit(1), F.length(low))).otherwise(F.lit(0.0))
+        return F.when(F.size(terms) > 0, F.least(F.lit(1.0), F.lit(0.7) * F.size(hits) / F.size(terms) + F.lit(0.3) * early))
+
+    def with_terms(low: Column) -> Column:
+        return let(words(F.lower(query)), lambda terms: let(F.filter(terms, lambda t: F.contains(low, t)), lambda hits: score(terms, low, hits)))
+
+    return let(F.lower(text), with_terms)
 
 
 def url_flags(url: Column) -> dict[str, Column]:
