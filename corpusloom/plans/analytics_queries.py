@@ -5,7 +5,7 @@ A `view` event stands for a user's message and the next `purchase` of the same u
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,23 +14,35 @@ from corpusloom.operators import analytics as A
 from .base import AS_OF, Registry, load
 
 R = Registry()
-ASK, ANSWER = F.col("event_type") == "view", F.col("event_type") == "purchase"
-_MODE = F.get_json_object("props", "$.k")
+
+
+def ask() -> Column:
+    return F.col("event_type") == "view"
+
+
+def answer() -> Column:
+    return F.col("event_type") == "purchase"
+
+
+def mode() -> Column:
+    return F.get_json_object("props", "$.k")
+
+
 _NEXT = "(SELECT min(struct_pack(ts := a.ts, id := a.event_id, value := a.value)) FROM events a WHERE a.event_type = 'purchase' AND a.user_id = m.user_id AND a.ts {op} m.ts)"
 
 
 def paired(events: DataFrame, strict: bool = True) -> DataFrame:
-    return A.next_answer(events, "user_id", "ts", "event_id", ANSWER, {"value": F.col("value")}, strict).where(ASK)
+    return A.next_answer(events, "user_id", "ts", "event_id", answer(), {"value": F.col("value")}, strict).where(ask())
 
 
-_cols = ["event_id", "user_id", F.col("answer.id").alias("answer_id"), F.col("answer.value").alias("latency")]
-R.on("recent_queries", "events", lambda d: paired(d).where("answer is not null").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select(*_cols),
+_cols = ["event_id", "user_id", "answer.id AS answer_id", "answer.value AS latency"]
+R.on("recent_queries", "events", lambda d: paired(d).where("answer is not null").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).selectExpr(*_cols),
      f"SELECT event_id, user_id, p.id AS answer_id, p.value AS latency FROM (SELECT *, {_NEXT.format(op='>')} AS p FROM events m WHERE event_type = 'view') WHERE p IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 50")
-R.on("answered_queries", "events", lambda d: paired(d).where("answer is not null").select(*_cols),
+R.on("answered_queries", "events", lambda d: paired(d).where("answer is not null").selectExpr(*_cols),
      f"SELECT event_id, user_id, p.id AS answer_id, p.value AS latency FROM (SELECT *, {_NEXT.format(op='>')} AS p FROM events m WHERE event_type = 'view') WHERE p IS NOT NULL")
-R.on("query_detail", "events", lambda d: paired(d, strict=False).select(*_cols),
+R.on("query_detail", "events", lambda d: paired(d, strict=False).selectExpr(*_cols),
      f"SELECT event_id, user_id, p.id AS answer_id, p.value AS latency FROM (SELECT *, {_NEXT.format(op='>=')} AS p FROM events m WHERE event_type = 'view')")
-R.on("failed_queries", "events", lambda d: A.unanswered(d, "user_id", "ts", ASK, ANSWER).select("event_id", "user_id"),
+R.on("failed_queries", "events", lambda d: A.unanswered(d, "user_id", "ts", ask(), answer()).select("event_id", "user_id"),
      "SELECT event_id, user_id FROM events m WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events a WHERE a.event_type = 'purchase' AND a.user_id = m.user_id AND a.ts > m.ts)")
 
 
@@ -61,14 +73,14 @@ R.add("owned_only", lambda s, d: load(s, d, "orders").join(load(s, d, "customer"
 R.add("lookup_join", lambda s, d: load(s, d, "customer").join(F.broadcast(load(s, d, "nation").limit(1000)), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n")),
       "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 _RECENT = f"ts >= {AS_OF}::TIMESTAMP - INTERVAL {{n}} DAY".replace("timestamp ", "")
-R.on("message_stats", "events", lambda d: A.message_stats(d.where(A.within(F.col("ts"), AS_OF, 14)), ANSWER, F.col("value") < 10, F.when(ANSWER, F.col("value"))).select("answers", "cached", F.round("avg_latency", 6).alias("avg_latency")),
+R.on("message_stats", "events", lambda d: A.message_stats(d.where(A.within(F.col("ts"), AS_OF, 14)), answer(), F.col("value") < 10, F.when(answer(), F.col("value"))).select("answers", "cached", F.round("avg_latency", 6).alias("avg_latency")),
      f"SELECT count(*) FILTER (WHERE event_type = 'purchase') AS answers, count(*) FILTER (WHERE event_type = 'purchase' AND value < 10) AS cached, round(avg(value) FILTER (WHERE event_type = 'purchase'), 6) AS avg_latency FROM events WHERE {_RECENT.format(n=14)}")
 
 
 def admin_metrics(s: SparkSession, d: str) -> DataFrame:
     users = load(s, d, "customer").agg(F.count_if(F.col("c_mktsegment") != "BUILDING").alias("users"))
     convs = load(s, d, "conversations").agg(F.count_distinct("conv_id").alias("conversations"), F.count(F.lit(1)).alias("messages"))
-    stats = A.message_stats(load(s, d, "events"), ANSWER, F.col("value") < 10, F.col("value"))
+    stats = A.message_stats(load(s, d, "events"), answer(), F.col("value") < 10, F.col("value"))
     docs = load(s, d, "documents").agg(F.count(F.lit(1)).alias("documents"))
     one = users.crossJoin(convs).crossJoin(stats).crossJoin(docs)  # a row each
     return one.select("users", "conversations", "messages", "documents", F.round(F.coalesce(F.try_divide("cached", "answers"), F.lit(0.0)), 6).alias("hit_rate"), F.round(F.coalesce("avg_latency", F.lit(0.0)), 6).alias("avg_latency"))
@@ -76,10 +88,10 @@ def admin_metrics(s: SparkSession, d: str) -> DataFrame:
 
 R.add("admin_metrics", admin_metrics, "SELECT (SELECT count(*) FROM customer WHERE c_mktsegment <> 'BUILDING') AS users, (SELECT count(DISTINCT conv_id) FROM conversations) AS conversations, (SELECT count(*) FROM conversations) AS messages, (SELECT count(*) FROM documents) AS documents, round(count(*) FILTER (WHERE event_type = 'purchase' AND value < 10) / count(*) FILTER (WHERE event_type = 'purchase'), 6) AS hit_rate, round(avg(value), 6) AS avg_latency FROM events")
 _DAILY = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1"
-daily = lambda d: A.daily_counts(d, "ts", ASK)
-R.on("daily_queries", "events", lambda d: A.daily_counts(d, "ts", ASK & A.within(F.col("ts"), AS_OF, 14)), f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE event_type = 'view' AND {_RECENT.format(n=14)} GROUP BY 1")
-R.on("mode_split", "events", lambda d: A.share_by(d, _MODE, "mode").select("mode", "n", F.round("share", 6).alias("share")), "SELECT json_extract_string(props, '$.k') AS mode, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")
-R.on("top_questions", "events", lambda d: d.where(ASK).groupBy("props").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last")).orderBy(F.desc("n"), F.desc("last"), "props").limit(10).select("props", "n"),
+daily = lambda d: A.daily_counts(d, "ts", ask())
+R.on("daily_queries", "events", lambda d: A.daily_counts(d, "ts", ask() & A.within(F.col("ts"), AS_OF, 14)), f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE event_type = 'view' AND {_RECENT.format(n=14)} GROUP BY 1")
+R.on("mode_split", "events", lambda d: A.share_by(d, mode(), "mode").select("mode", "n", F.round("share", 6).alias("share")), "SELECT json_extract_string(props, '$.k') AS mode, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")
+R.on("top_questions", "events", lambda d: d.where(ask()).groupBy("props").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last")).orderBy(F.desc("n"), F.desc("last"), "props").limit(10).select("props", "n"),
      "SELECT props, n FROM (SELECT props, count(*) AS n, max(ts) AS last FROM events WHERE event_type = 'view' GROUP BY props ORDER BY n DESC, last DESC, props LIMIT 10)")
 R.on("source_stats", "orders", lambda d: d.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.count_if(F.col("o_orderstatus").isin("O", "P")).alias("pending")),
      "SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'O') AS open, count(*) FILTER (WHERE o_orderstatus IN ('O', 'P')) AS pending FROM orders")
@@ -91,7 +103,7 @@ R.on("conversation_stats", "orders", lambda d: d.groupBy("o_custkey").agg(F.coun
 
 def calls(d: DataFrame) -> DataFrame:
     """Events as a log of model calls: stage from the type, tokens and latency from the value, model from the user."""
-    stage = F.when(ASK, "Research agent").when(ANSWER, "Writer").when(F.col("event_type") == "click", "Analyst").otherwise("Other")
+    stage = F.when(ask(), "Research agent").when(answer(), "Writer").when(F.col("event_type") == "click", "Analyst").otherwise("Other")
     model = F.element_at(F.array(*[F.lit(m) for m, _, _ in A.PRICES], F.lit("unknown")), (F.col("user_id") % 4 + 1).cast("int"))
     tokens = F.floor(F.col("value") * 100)
     return d.select("event_id", stage.alias("stage"), F.when(F.col("user_id") % 5 == 0, "hf").otherwise("groq").alias("provider"), model.alias("model"), tokens.alias("prompt_tokens"), F.floor(tokens / 2).alias("completion_tokens"), F.col("value").alias("latency_ms"))
@@ -105,7 +117,7 @@ R.on("agent_costs", "events", lambda d: A.agent_costs(A.llm_cost(calls(d))).sele
 R.on("pipeline_totals", "events", lambda d: A.llm_cost(calls(d)).agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.round(F.sum("latency_ms"), 4).alias("latency_ms"), F.when(F.bool_or(F.col("provider") == "hf"), "hf").otherwise("groq").alias("engine")),
      f"SELECT round(sum(cost_usd), 6) AS cost_usd, round(sum(latency_ms), 4) AS latency_ms, (SELECT CASE WHEN bool_or(user_id % 5 = 0) THEN 'hf' ELSE 'groq' END FROM events) AS engine FROM ({_CALLS})")
 _H24 = f"ts >= {AS_OF.replace('timestamp ', '')}::TIMESTAMP - INTERVAL 24 HOUR"
-R.on("job_stats", "events", lambda d: d.agg(F.count_if(ASK).alias("queued"), F.count_if(F.col("event_type") == "click").alias("running"), F.count_if(ANSWER & A.within(F.col("ts"), AS_OF, 1)).alias("done"), F.count_if((F.col("event_type") == "error") & A.within(F.col("ts"), AS_OF, 1)).alias("failed")),
+R.on("job_stats", "events", lambda d: d.agg(F.count_if(ask()).alias("queued"), F.count_if(F.col("event_type") == "click").alias("running"), F.count_if(answer() & A.within(F.col("ts"), AS_OF, 1)).alias("done"), F.count_if((F.col("event_type") == "error") & A.within(F.col("ts"), AS_OF, 1)).alias("failed")),
      f"SELECT count(*) FILTER (WHERE event_type = 'view') AS queued, count(*) FILTER (WHERE event_type = 'click') AS running, count(*) FILTER (WHERE event_type = 'purchase' AND {_H24}) AS done, count(*) FILTER (WHERE event_type = 'error' AND {_H24}) AS failed FROM events")
 R.on("ingest_summary", "orders", lambda d: d.rollup("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("o_orderstatus", F.lit("total")).alias("status"), "n"),
      "SELECT coalesce(o_orderstatus, 'total') AS status, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus)")
@@ -114,13 +126,13 @@ R.on("latency_percentiles", "events", lambda d: A.percentiles(d, ["event_type"],
      "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 R.on("export_markdown", "conversations", lambda d: A.joined_text(d, ["conv_id"], "turn", F.concat(F.lit("## "), F.initcap("role"), F.lit("\n\n"), F.col("text")), "\n\n", "markdown"),
      "SELECT conv_id, string_agg('## ' || upper(substr(role, 1, 1)) || substr(role, 2) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
-R.on("stage_timings", "events", lambda d: d.select(F.explode(F.from_json(F.to_json(F.array(F.struct(F.lit("retrieve").alias("stage"), F.col("value").alias("ms"), ASK.alias("ran")), F.struct(F.lit("write").alias("stage"), F.when(ANSWER, F.col("value")).otherwise(0.0).alias("ms"), ANSWER.alias("ran")))), "array<struct<stage:string,ms:double,ran:boolean>>")).alias("x")).select("x.*").groupBy("stage").agg(F.count_if("ran").alias("executed"), F.round(F.avg("ms"), 6).alias("avg_ms")),
+R.on("stage_timings", "events", lambda d: d.select(F.explode(F.from_json(F.to_json(F.array(F.struct(F.lit("retrieve").alias("stage"), F.col("value").alias("ms"), ask().alias("ran")), F.struct(F.lit("write").alias("stage"), F.when(answer(), F.col("value")).otherwise(0.0).alias("ms"), answer().alias("ran")))), "array<struct<stage:string,ms:double,ran:boolean>>")).alias("x")).select("x.*").groupBy("stage").agg(F.count_if("ran").alias("executed"), F.round(F.avg("ms"), 6).alias("avg_ms")),
      "SELECT 'retrieve' AS stage, count(*) FILTER (WHERE event_type = 'view') AS executed, round(avg(value), 6) AS avg_ms FROM events UNION ALL SELECT 'write', count(*) FILTER (WHERE event_type = 'purchase'), round(avg(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 6) FROM events")
 R.on("day_bucket", "events", lambda d: d.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), A.time_group(F.col("ts"), F.expr(AS_OF)).alias("bucket")),
      f"SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN n <= 0 THEN 'today' WHEN n = 1 THEN 'yesterday' WHEN n <= 7 THEN 'previous7' ELSE 'older' END AS bucket FROM (SELECT *, date_diff('day', ts::DATE, {AS_OF.replace('timestamp ', '')}::DATE) AS n FROM events)")
 R.on("preview_title", "conversations", lambda d: d.groupBy("conv_id").agg(F.substring(F.max_by("text", "turn"), 1, 90).alias("preview"), F.substring(F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))), 1, 48).alias("title")),
      "SELECT conv_id, substr(arg_max(text, turn), 1, 90) AS preview, substr(arg_min(text, turn) FILTER (WHERE role = 'user'), 1, 48) AS title FROM conversations GROUP BY conv_id")
-R.on("composed_predicates", "events", lambda d: d.where(F.col("event_type").isin("view", "purchase") & (_MODE.try_cast("int") >= 50) & F.col("ts").between(F.expr("timestamp_ntz '2024-01-05 00:00:00'"), F.expr("timestamp_ntz '2024-01-20 00:00:00'"))).select("event_id", "user_id"),
+R.on("composed_predicates", "events", lambda d: d.where(F.col("event_type").isin("view", "purchase") & (mode().try_cast("int") >= 50) & F.col("ts").between(F.expr("timestamp_ntz '2024-01-05 00:00:00'"), F.expr("timestamp_ntz '2024-01-20 00:00:00'"))).select("event_id", "user_id"),
      "SELECT event_id, user_id FROM events WHERE event_type IN ('view', 'purchase') AND try_cast(json_extract_string(props, '$.k') AS INT) >= 50 AND ts BETWEEN '2024-01-05' AND '2024-01-20'")
 R.on("time_window", "events", lambda d: d.where(A.within(F.col("ts"), AS_OF, 7)).select("event_id"), f"SELECT event_id FROM events WHERE {_RECENT.format(n=7)}")
 R.on("format_relative", "events", lambda d: d.select("event_id", A.age_label(F.unix_timestamp(F.expr(AS_OF)) - F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("age")),
@@ -129,9 +141,9 @@ R.on("day_over_day", "events", lambda d: A.day_over_day(daily(d)).select("day",
      f"SELECT day, n, CASE WHEN p > 0 THEN floor((n - p) * 100 / p + 0.5)::BIGINT END AS change, round(avg(n) OVER (), 6) AS average FROM (SELECT *, lag(n) OVER (ORDER BY day) AS p FROM ({_DAILY}))")
 R.on("half_period_trend", "events", lambda d: A.half_period_trend(daily(d)),
      f"SELECT early, late, CASE WHEN days >= 4 AND early > 0 THEN floor((late - early) * 100 / early + 0.5)::BIGINT END AS trend FROM (SELECT max(c) AS days, sum(n) FILTER (WHERE i <= c // 2)::BIGINT AS early, sum(n) FILTER (WHERE i > c // 2)::BIGINT AS late FROM (SELECT n, row_number() OVER (ORDER BY day) AS i, count(*) OVER () AS c FROM ({_DAILY})))")
-R.on("cache_health_band", "events", lambda d: d.where(ANSWER).groupBy("user_id").agg(F.avg(F.when(F.col("value") < 50, 1.0).otherwise(0.0)).alias("rate")).select("user_id", A.half_up(F.col("rate") * 100).alias("percent"), A.health_band(F.col("rate")).alias("band")),
+R.on("cache_health_band", "events", lambda d: d.where(answer()).groupBy("user_id").agg(F.avg(F.when(F.col("value") < 50, 1.0).otherwise(0.0)).alias("rate")).select("user_id", A.half_up(F.col("rate") * 100).alias("percent"), A.health_band(F.col("rate")).alias("band")),
      "SELECT user_id, floor(r * 100 + 0.5)::BIGINT AS percent, CASE WHEN r >= 0.6 THEN 'healthy' WHEN r >= 0.3 THEN 'fair' ELSE 'low' END AS band FROM (SELECT user_id, avg(CASE WHEN value < 50 THEN 1.0 ELSE 0.0 END) AS r FROM events WHERE event_type = 'purchase' GROUP BY user_id)")
-_CHAT = F.col("role").isin("user", "assistant")
+_CHAT = "role IN ('user', 'assistant')"
 R.on("last_n_memory", "conversations", lambda d: A.joined_text(A.last_n(d.where(_CHAT), "conv_id", "turn").where("not evicted"), ["conv_id"], "turn", F.concat_ws(": ", F.initcap("role"), "text"), "\n", "context"),
      "SELECT conv_id, string_agg(upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || text, chr(10) ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS i FROM conversations WHERE role IN ('user', 'assistant')) WHERE i <= 8 GROUP BY conv_id")
 R.on("evicted_turn_prompts", "conversations", lambda d: A.previous(A.last_n(d.where(_CHAT), "conv_id", "turn", 4), "conv_id", ["turn"], F.col("role") == "user", F.col("text"), "user_text").where("evicted and role = 'assistant'").select("conv_id", "turn", "user_text", F.substring("text", 1, 200).alias("answer")),
@@ -150,9 +162,9 @@ R.on("sample_n", "documents", lambda d: d.orderBy(F.md5(F.concat(F.lit("7:"), F.
 R.on("split_holdout", "benchmark", lambda d: d.join(F.broadcast(d.orderBy(F.desc("item_id")).limit(20).select("item_id", F.lit(True).alias("held"))), "item_id", "left").select("item_id", F.coalesce("held", F.lit(False)).alias("held_out")),
      "SELECT item_id, row_number() OVER (ORDER BY item_id DESC) <= 20 AS held_out FROM benchmark")
 R.on("distinct_ids", "events", lambda d: d.select("user_id", "event_type").distinct(), "SELECT DISTINCT user_id, event_type FROM events")
-R.on("intersect_ids", "events", lambda d: d.where(ASK).select("user_id", _MODE.alias("k")).intersect(d.where(ANSWER).select("user_id", _MODE.alias("k"))), "SELECT user_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'view' INTERSECT SELECT user_id, json_extract_string(props, '$.k') FROM events WHERE event_type = 'purchase'")
-R.on("except_ids", "events", lambda d: d.where(ASK).select("user_id", _MODE.alias("k")).exceptAll(d.where(ANSWER).select("user_id", _MODE.alias("k"))), "SELECT user_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'view' EXCEPT ALL SELECT user_id, json_extract_string(props, '$.k') FROM events WHERE event_type = 'purchase'")
-R.on("union_all_lists", "events", lambda d: d.where(ASK).select("event_id", F.lit(1).alias("list_id")).unionByName(d.where(F.col("value") > 50).select("event_id", F.lit(2).alias("list_id"))), "SELECT event_id, 1 AS list_id FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, 2 FROM events WHERE value > 50")
+R.on("intersect_ids", "events", lambda d: d.where(ask()).select("user_id", mode().alias("k")).intersect(d.where(answer()).select("user_id", mode().alias("k"))), "SELECT user_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'view' INTERSECT SELECT user_id, json_extract_string(props, '$.k') FROM events WHERE event_type = 'purchase'")
+R.on("except_ids", "events", lambda d: d.where(ask()).select("user_id", mode().alias("k")).exceptAll(d.where(answer()).select("user_id", mode().alias("k"))), "SELECT user_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'view' EXCEPT ALL SELECT user_id, json_extract_string(props, '$.k') FROM events WHERE event_type = 'purchase'")
+R.on("union_all_lists", "events", lambda d: d.where(ask()).select("event_id", F.lit(1).alias("list_id")).unionByName(d.where(F.col("value") > 50).select("event_id", F.lit(2).alias("list_id"))), "SELECT event_id, 1 AS list_id FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, 2 FROM events WHERE value > 50")
 R.on("thread_dump", "conversations", lambda d: d.where("conv_id = 5").orderBy("turn").select("turn", "role", "text"), "SELECT turn, role, text FROM conversations WHERE conv_id = 5")
 R.on("request_rate", "events", lambda d: d.groupBy("user_id", F.window(F.col("ts").cast("timestamp"), "15 minutes", "5 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.unix_timestamp("w.start").alias("start"), "n"),
      "SELECT user_id, (b + 300 * o)::BIGINT AS start, count(*) AS n FROM (SELECT user_id, floor(epoch(ts) / 300)::BIGINT * 300 AS b FROM events), (SELECT unnest([-2, -1, 0]) AS o) GROUP BY 1, 2")

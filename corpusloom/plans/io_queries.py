@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -22,7 +22,7 @@ def manifest(s: SparkSession, d: str) -> DataFrame:
     """Pages written as a JSON array of entries, a file each hundred, and read back."""
     folder = jobs.work_dir(s)
     pages = load(s, d, "pages").select(F.floor(F.col("page_id") / 100).alias("part"), F.struct("url", F.col("page_id").cast("string").alias("title")).alias("e"))
-    pages.groupBy("part").agg(F.to_json(F.collect_list("e")).alias("value")).select("value").write.text(folder)
+    pages.groupBy("part").agg(F.to_json(F.collect_list("e")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(folder)
     return files.scan_manifest(s, folder).select("url", "title")
 
 
@@ -65,16 +65,35 @@ def loaded_once(s: SparkSession, d: str) -> DataFrame:
 
 
 R.add("load_corpus_once", loaded_once, "SELECT 'kept' AS load, count(*) AS n FROM documents WHERE lang = 'en' UNION ALL SELECT 'forced', count(*) FROM documents")
-_RAW = F.to_json(F.struct(F.col("turn").alias("score"), F.col("text").alias("answer")))
-_FENCED = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```json\n"), _RAW, F.lit("\n```"))).when(F.col("turn") % 3 == 1, _RAW).otherwise(F.concat(F.lit("not json "), F.col("text")))
-R.on("parse_json_loose", "conversations", lambda d: d.select("conv_id", "turn", E.parse_json_loose(_FENCED, "score int, answer string", ("score", "answer"), F.struct(F.lit(0).alias("score"), F.lit("").alias("answer"))).alias("p")).select("conv_id", "turn", "p.score", F.md5("p.answer").alias("answer_md5")),
+
+
+def fenced() -> Column:
+    """A message as a model's raw answer: JSON in a fence, bare JSON, or none."""
+    raw = F.to_json(F.struct(F.col("turn").alias("score"), F.col("text").alias("answer")))
+    return F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```json\n"), raw, F.lit("\n```"))).when(F.col("turn") % 3 == 1, raw).otherwise(F.concat(F.lit("not json "), F.col("text")))
+
+
+def loose(d: DataFrame) -> DataFrame:
+    parsed = E.parse_json_loose(fenced(), "score int, answer string", ("score", "answer"), F.struct(F.lit(0).alias("score"), F.lit("").alias("answer")))
+    return d.select("conv_id", "turn", parsed.alias("p")).select("conv_id", "turn", "p.score", F.md5("p.answer").alias("answer_md5"))
+
+
+R.on("parse_json_loose", "conversations", loose,
      "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 0 ELSE turn END AS score, md5(CASE WHEN turn % 3 = 2 THEN '' ELSE text END) AS answer_md5 FROM conversations")
 R.on("parse_scores", "events", lambda d: d.select("event_id", E.parse_score(F.concat(F.lit("note\nFAITHFULNESS: "), F.round("value", 2).cast("string"), F.lit(" of 5")), "FAITHFULNESS", 3.0).alias("score")),
      "SELECT event_id, CASE WHEN round(value, 2) BETWEEN 1 AND 5 THEN round(value, 2) ELSE 3.0 END AS score FROM events")
 _SOURCES = "array<struct<name:string,score:double>>"
-_JSON = F.when(F.col("value") > 50, F.lit("[1, 2")).when(F.col("value") > 20, F.lit("{}")).otherwise(F.to_json(F.array(F.struct(F.col("event_type").alias("name"), F.col("value").alias("score")), F.struct(F.lit(None).cast("string").alias("name"), F.lit(1.0).alias("score")))))
-R.on("parse_sources", "events", lambda d: d.select("event_id", F.size(F.filter(F.coalesce(F.when(F.startswith(_JSON, F.lit("[")), F.from_json(_JSON, _SOURCES)), F.array().cast(_SOURCES)), lambda x: x["name"].isNotNull())).cast("long").alias("n")),
-     "SELECT event_id, CASE WHEN value > 20 THEN 0 ELSE 1 END AS n FROM events")
+
+
+def sources(d: DataFrame) -> DataFrame:
+    """Named sources of a payload; anything that isn't a list of objects counts as none."""
+    pair = F.array(F.struct(F.col("event_type").alias("name"), F.col("value").alias("score")), F.struct(F.lit(None).cast("string").alias("name"), F.lit(1.0).alias("score")))
+    raw = F.when(F.col("value") > 50, F.lit("[1, 2")).when(F.col("value") > 20, F.lit("{}")).otherwise(F.to_json(pair))
+    listed = F.coalesce(F.when(F.startswith(raw, F.lit("[")), F.from_json(raw, _SOURCES)), F.array().cast(_SOURCES))
+    return d.select("event_id", F.size(F.filter(listed, lambda x: x["name"].isNotNull())).cast("long").alias("n"))
+
+
+R.on("parse_sources", "events", sources, "SELECT event_id, CASE WHEN value > 20 THEN 0 ELSE 1 END AS n FROM events")
 
 
 def side_by_side(s: SparkSession, d: str) -> DataFrame:
@@ -93,7 +112,7 @@ def side_by_side(s: SparkSession, d: str) -> DataFrame:
 _TOK = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(b.text), '[^\\p{L}\\p{N}\\s-]', ' ', 'g'), '\\s+'), lambda x: x <> ''))"
 _SCORE = f"SELECT query_id, avg(len(list_filter({_TOK}, lambda x: contains(lower(d.text), x))) / len({_TOK})) AS r FROM {{0}} JOIN benchmark b ON item_id = query_id JOIN documents d USING (doc_id) GROUP BY 1"
 R.add("side_by_side", side_by_side,
-      f"WITH {_LISTS}, {_bm25('bm', '(SELECT item_id AS query_id, text FROM benchmark)', 15)}, x AS ({_SCORE.format('bm')}), y AS ({_SCORE.format('(SELECT * FROM fused WHERE rank <= 15)')}) SELECT round(avg(x.r), 6) AS bm25, round(avg(y.r), 6) AS hybrid, round(avg(y.r - x.r), 6) AS delta FROM x JOIN y USING (query_id)")
+      f"WITH {_LISTS}, {_bm25('bm', '(SELECT item_id AS query_id, text FROM benchmark)', 15)}, x AS ({_SCORE.replace('{0}', 'bm')}), y AS ({_SCORE.replace('{0}', '(SELECT * FROM fused WHERE rank <= 15)')}) SELECT round(avg(x.r), 6) AS bm25, round(avg(y.r), 6) AS hybrid, round(avg(y.r - x.r), 6) AS delta FROM x JOIN y USING (query_id)")
 
 
 def stream_sync(s: SparkSession, d: str) -> DataFrame:

@@ -180,7 +180,6 @@ def mrr(v: DataFrame, k: int = 10) -> DataFrame:
     return probes(v).join(first, "query_id", "left").agg(F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.count(F.lit(1)).alias("queries"))
 
 
-_FIRST = F.get(T.words(F.lower("text")), F.lit(0))
 R.add("context_precision", lambda s, d: reranked(s, d).groupBy("query_id").agg(F.round(F.avg(F.when(F.col("cross") > 0.5, 1.0).otherwise(0.0)), 6).alias("precision")),
       f'WITH {_RERANK} SELECT query_id, round(avg(CASE WHEN "cross" > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS "precision" FROM rr GROUP BY 1')
 

@@ -108,8 +108,8 @@ R.add("delete_documents_cascade", lambda s, d: S.cascade_delete({"documents": lo
       f"SELECT 'documents' AS table_name, count(*) AS deleted FROM documents WHERE lang = 'de' UNION ALL SELECT 'chunks', count(*) FROM ({LINES_SQL}) WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'de') UNION ALL SELECT 'labels', count(*) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'de')")
 R.add("soft_delete", lambda s, d: S.mutate(load(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), load(s, d, "orders").where("o_totalprice > 300000"), "o_orderkey", F.col("o_custkey") % 2 == 0, {"o_orderstatus": F.lit("D")}).select("o_orderkey", "o_orderstatus"),
       "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 AND o_custkey % 2 = 0 THEN 'D' ELSE o_orderstatus END AS o_orderstatus FROM orders")
-_RATING = F.when(F.col("value") > 20, "UP").when(F.col("value") > 5, "DOWN")
-R.on("apply_feedback_log", "events", lambda d: S.latest(d.withColumn("rating", _RATING), ["user_id", "event_type"], "rating", ["ts", "event_id"]), "SELECT * FROM (SELECT user_id, event_type, CASE WHEN v > 20 THEN 'UP' WHEN v > 5 THEN 'DOWN' END AS rating FROM (SELECT user_id, event_type, arg_max(value, struct_pack(t := ts, e := event_id)) AS v FROM events GROUP BY ALL)) WHERE rating IS NOT NULL")
+_RATING = "CASE WHEN value > 20 THEN 'UP' WHEN value > 5 THEN 'DOWN' END"
+R.on("apply_feedback_log", "events", lambda d: S.latest(d.withColumn("rating", F.expr(_RATING)), ["user_id", "event_type"], "rating", ["ts", "event_id"]), "SELECT * FROM (SELECT user_id, event_type, CASE WHEN v > 20 THEN 'UP' WHEN v > 5 THEN 'DOWN' END AS rating FROM (SELECT user_id, event_type, arg_max(value, struct_pack(t := ts, e := event_id)) AS v FROM events GROUP BY ALL)) WHERE rating IS NOT NULL")
 
 
 def claimed(s: SparkSession, d: str) -> DataFrame:
