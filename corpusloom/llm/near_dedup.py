@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import checkpoint, maybe_broadcast, per_batch, stored, table
 from .words import SHINGLE, shingles
@@ -58,33 +59,47 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(per_batch(_sign), "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def _confirm(batches):
-    """Keep the pairs whose full sets pass; the last few sets stay at hand as a hub's pairs come together."""
-    kept: dict[str, np.ndarray] = {}
+class _Sets(dict):
+    """Shingle sets of the last few texts, as a hub's pairs come together."""
 
-    def get(text: str) -> np.ndarray:
-        if text not in kept:
-            if len(kept) > 64:
-                kept.clear()
-            kept[text] = shingles(text)
-        return kept[text]
+    def __missing__(self, text: str) -> np.ndarray:
+        if len(self) > 64:
+            self.clear()
+        self[text] = found = shingles(text)
+        return found
 
+
+def _compare(batches):
+    sets = _Sets()
     for batch in batches:
-        ok = []
+        common, linked = [], []
         for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = get(a), get(b)
-            both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)) else 0
-            ok.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
-        out = batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-        if out.num_rows:
-            yield out
+            x, y = sets[a], sets[b]
+            common.append(n := len(np.intersect1d(x, y, assume_unique=True)))
+            linked.append(n > 0 and 100 * n >= PERCENT * (len(x) + len(y) - n))
+        if common:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "common", "linked"])
+
+
+def _beyond(batches):
+    sets = _Sets()
+    for batch in batches:
+        found = [np.setdiff1d(sets[b], sets[a], assume_unique=True) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        if found:
+            sizes = [len(x) for x in found]
+            hub, rep = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(hub, pa.int64()), pa.array(rep, pa.int64()), pa.array(np.concatenate(found).view(np.int64))], ["hub", "rep", "shingle"])
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose documents' shingle sets are similar enough. texts: doc_id, text."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with both texts; b's come first, so that a hub's text isn't shuffled again."""
     member = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = member.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
+    return member.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+
+
+def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the size of the intersection of their full sets, and whether they are similar enough. texts: doc_id, text."""
+    return _with_texts(pairs, texts).mapInArrow(_compare, "a long, b long, common long, linked boolean")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -114,49 +129,91 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     return checkpoint(members.join(merged, "component", "left").select("rep", F.coalesce("__new", "component").alias("component")))
 
 
-def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, component) of the classes of equal sets that share a bucket with another class. classes: rep, bands.
+def _can_pass(common: Column, size: Column, other: Column) -> Column:
+    """Sets of these sizes that have at most `common` shingles in common may still be similar enough."""
+    return 100 * common >= PERCENT * (size + other - common)
+
 
-    Work in a bucket never takes all pairs of similar texts. First each member meets only the bucket's hub, the member
-    with the most company over all its buckets; confirmed links merge components, and a bucket whose members are all in
-    one component is done. In what is left, members of different components must be compared: at once in buckets of
-    up to SMALL_BUCKET members, else with a growing share of pivots, so that no link is lost and
-    similar members leave as soon as they are linked. Only pairs without a link are ever compared in full.
+def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, component) of the classes of equal sets that share a bucket with another class. classes: rep, size, bands.
+
+    Work in a bucket never takes all pairs of similar texts, and no link is lost. First each member is compared with the
+    bucket's hub, the member with the most company over all its buckets; links merge components, and a bucket whose
+    members are all in one component is done. In large buckets that aren't, two members either share a shingle that the
+    hub lacks, and then an equal join on such shingles finds them; or all they share is the hub's, which is no more
+    than each shares with it. That bound rules out nearly everyone who isn't linked with the hub. Those it leaves outside
+    the hub's component meet all members of other components whom they may pass with, at once in buckets with up to
+    SMALL_BUCKET of them, else a growing share of them at a time, so that those who find a link needn't go on.
     """
-    spark = classes.sparkSession
-    rows = classes.select("rep", F.explode("bands").alias("bucket"))
+    rows = classes.select("rep", "size", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(rows.join(shared, "bucket").select("bucket", "rep", "n"))
-    company = members.groupBy("rep").agg(F.sum("n").alias("company"))
-    labels = checkpoint(company.select("rep", F.col("rep").alias("component")))
-    hubs = members.join(company, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("rep"))
-    ids = labels.select(F.col("rep").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(maybe_broadcast(ids, labels.count()), "doc_id", "left_semi")
+    members = stored(rows.join(shared, "bucket").select("bucket", "rep", "size", "n"))
+    company = members.groupBy("rep").agg(F.sum("n").alias("company"), F.first("size").alias("size"))
+    known = checkpoint(company)
+    labels = known.select("rep", F.col("rep").alias("component"))
+    hubs = members.join(known.select("rep", "company"), "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub"))
+    ids = known.select(F.col("rep").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(maybe_broadcast(ids, known.count()), "doc_id", "left_semi")
     texts = stored(texts)
-    done: DataFrame | None = None
-    share = 0
-    while True:
+
+    def pair(x: str, y: str) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    def merge(labels: DataFrame, found: DataFrame) -> DataFrame:
+        of = labels.select(F.col("rep").alias("a"), F.col("component").alias("ca")), labels.select(F.col("rep").alias("b"), F.col("component").alias("cb"))
+        return _relabel(labels, found.where("linked").join(of[0], "a").join(of[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+
+    def apart(members: DataFrame) -> DataFrame:
+        """Members with their components, of the buckets that hold more than one."""
         at = members.join(labels, "rep")
-        unsettled = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        left = at.where(F.col("n") > share) if share else at
-        left = checkpoint(left.join(unsettled, "bucket").select("bucket", "rep", "component", "n"))
+        return at.join(at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "bucket")
+
+    with_hub = members.join(hubs, "bucket").where("rep <> hub")
+    done = checkpoint(compare(with_hub.select(*pair("rep", "hub")).distinct(), texts))
+    labels = merge(labels, done)
+    seen = done.select("a", "b")
+    left = checkpoint(apart(members.where("n > 2").join(hubs, "bucket")))
+    of_hub = left.where(F.col("n") > SMALL_BUCKET).select("hub", "rep", "component", "size").distinct()
+    beyond = _with_texts(of_hub.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")), texts).mapInArrow(_beyond, "hub long, rep long, shingle long")
+    beyond = stored(beyond.join(of_hub, ["hub", "rep"]))
+    both = beyond.groupBy("hub", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("often")).where("lo < hi").drop("lo", "hi")
+    shares = done.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "common").unionByName(done.select(F.col("b").alias("rep"), F.col("a").alias("hub"), "common"))
+    again = beyond.join(both, ["hub", "shingle"]).join(shares, ["rep", "hub"])
+    again = checkpoint(again.join(again.groupBy("hub", "rep").agg(F.count(F.lit(1)).alias("extra")), ["hub", "rep"]))
+    hub_label = labels.select(F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
+    least = of_hub.groupBy("hub").agg(F.min("size").alias("least"))
+    # who isn't linked with the hub must share so many shingles that the hub lacks; so its rarest ones, all but need - 1, find each partner
+    need = F.ceil(PERCENT * (F.col("size") + F.greatest("least", F.ceil(PERCENT * F.col("size") / 100))) / (100 + PERCENT)) - F.col("common")
+    outer = again.join(hub_label, "hub").where("component <> hub_component").join(least, "hub")
+    place = F.row_number().over(Window.partitionBy("hub", "rep").orderBy("often", "shingle"))
+    outer = outer.withColumn("place", place).where(F.col("place") <= F.col("extra") - F.greatest(need, F.lit(1)) + 1)
+    other = again.select("hub", "shingle", F.col("rep").alias("other"), F.col("component").alias("oc"), F.col("size").alias("o_size"), F.col("common").alias("o_common"), F.col("extra").alias("o_extra"))
+    fits = _can_pass(F.least("common", "o_common") + F.least("extra", "o_extra"), F.col("size"), F.col("o_size"))
+    pairs = outer.join(other, ["hub", "shingle"]).where((F.col("component") != F.col("oc")) & fits).select(*pair("rep", "other")).distinct()
+    pairs = checkpoint(compare(pairs.join(seen, ["a", "b"], "left_anti"), texts))
+    labels = merge(labels, pairs)
+    seen = seen.unionByName(pairs.select("a", "b"))
+    left = left.drop("component").join(shares, ["rep", "hub"], "left").withColumn("common", F.when(F.col("n") > SMALL_BUCKET, F.coalesce("common", "size")).otherwise(F.col("size")))
+    least = left.groupBy("bucket").agg(F.min("size").alias("least"))
+    left = left.join(least, "bucket").where(_can_pass(F.col("common"), F.col("size"), F.greatest("least", "common"))).drop("least")
+    share = SMALL_BUCKET
+    while True:
+        left = checkpoint(apart(left))
         if left.isEmpty():
             return labels
-        if share == 0:
-            pivots = left.join(hubs, ["bucket", "rep"], "left_semi")
-        else:
-            draw = F.pmod(F.xxhash64("rep", F.lit(share)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-            pivots = left.where(draw * F.col("n") < share)
-        p = pivots.select("bucket", F.col("rep").alias("pivot"), F.col("component").alias("pc"))
-        pairs = left.join(p, "bucket").where("component <> pc").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
-        done = pairs if done is None else done.unionByName(pairs)
-        links = confirm(pairs, texts)
-        of = labels.select(F.col("rep").alias("a"), F.col("component").alias("ca")), labels.select(F.col("rep").alias("b"), F.col("component").alias("cb"))
-        labels = _relabel(labels, links.join(of[0], "a").join(of[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        share = share * 4 if share else SMALL_BUCKET
+        hub_label = labels.select(F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
+        outer = left.join(hub_label, "hub").where("component <> hub_component")
+        many = outer.groupBy("bucket").agg(F.count(F.lit(1)).alias("outside"))
+        draw = F.pmod(F.xxhash64("rep", F.lit(share)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        pivots = outer.join(many, "bucket").where(draw * F.col("outside") < share)
+        p = pivots.select("bucket", F.col("rep").alias("pivot"), F.col("component").alias("pc"), F.col("size").alias("p_size"), F.col("common").alias("p_common"))
+        fits = _can_pass(F.least("common", "p_common"), F.col("size"), F.col("p_size"))
+        pairs = left.join(p, "bucket").where((F.col("component") != F.col("pc")) & fits).select(*pair("rep", "pivot")).distinct()
+        pairs = checkpoint(compare(pairs.join(seen, ["a", "b"], "left_anti"), texts))
+        seen = seen.unionByName(pairs.select("a", "b"))
+        labels = merge(labels, pairs)
+        left = left.join(many.where(F.col("outside") > share).select("bucket"), "bucket").drop("component")
+        share *= 4
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -169,10 +226,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     beside doc_id and text are ignored. Long texts are hashed whole, in blocks.
     """
     sig = stored(signatures(docs))
-    sets = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands"))
-    linked = link_classes(sets.select("rep", "bands"), docs)
-    sizes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    to = sizes.join(linked, "rep", "left").where("size > 1 or component is not null").select("set_key", F.coalesce("component", "rep").alias("component"))
+    sets = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    linked = link_classes(sets.select("rep", "size", "bands"), docs)
+    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    to = classes.join(linked, "rep", "left").where("copies > 1 or component is not null").select("set_key", F.coalesce("component", "rep").alias("component"))
     own = F.coalesce(F.col("component"), F.col("doc_id"))
     return sig.join(to, "set_key", "left").select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
 
