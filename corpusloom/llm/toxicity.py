@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,19 +81,18 @@ class Model:
         return max(range(len(p)), key=lambda k: p[k]), sum(above), above[0] if above else 0.0
 
 
-def fit_ordinal(rows: list[dict[int, float]], grades: list[int], width: int, steps: int = 400, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and increasing thresholds by full-batch Adam on the cumulative-link likelihood of a bounded sample."""
-    y = np.array(grades)
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.fromiter((k for r in rows for k in r), np.int64)
-    val = np.fromiter((v for r in rows for v in r.values()), np.float64)
+def fit_ordinal(at: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, width: int, steps: int = 400, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and increasing thresholds by full-batch Adam on the cumulative-link likelihood of a bounded sample.
+
+    Text at[i] has value val[i] of feature col[i]; y holds the texts' grades.
+    """
     # thresholds are a first value and positive steps, so that they stay in order
     p = np.concatenate([np.zeros(width), [1.0], np.zeros(GRADES - 2)])
     m, v = np.zeros_like(p), np.zeros_like(p)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     for step in range(1, steps + 1):
         w, cuts = p[:width], p[width] + np.concatenate([[0.0], np.cumsum(np.exp(p[width + 1 :]))])
-        x = np.bincount(at, val * w[col], len(rows))
+        x = np.bincount(at, val * w[col], len(y))
         above = np.concatenate([np.ones((len(y), 1)), sig(x[:, None] - cuts), np.zeros((len(y), 1))], axis=1)
         slope = above * (1 - above)
         i = np.arange(len(y))
@@ -121,12 +121,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         found = [Counter(place[w] for w in terms(t) if w in place) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["toxic", "at", "n"])
 
-    got = rows.mapInArrow(per_batch(run), "toxic int, at array<int>, n array<int>").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["toxic"], r["at"], r["n"]))
-    hits = [sum(k in marked for k in r["at"]) for r in got]
-    median = float(np.median([h for h, r in zip(hits, got, strict=True) if r["toxic"]]))
-    grades = [0 if not r["toxic"] else 2 if h >= max(median, 1) else 1 for h, r in zip(hits, got, strict=True)]
-    w, cuts = fit_ordinal([{k: math.log1p(n) for k, n in zip(r["at"], r["n"], strict=True)} for r in got], grades, len(place))
+    got = rows.mapInArrow(per_batch(run), "toxic int, at array<int>, n array<int>").toArrow().combine_chunks()
+    toxic = got["toxic"].to_numpy() > 0
+    sizes = pc.list_value_length(got["at"]).to_numpy()
+    col, n = (pc.list_flatten(got[c]).to_numpy() for c in ("at", "n"))
+    at = np.repeat(np.arange(len(toxic), dtype=np.int32), sizes)
+    hits = np.bincount(at, np.isin(col, list(marked)), len(toxic))
+    median = max(float(np.median(hits[toxic])), 1)
+    w, cuts = fit_ordinal(at, col, np.log1p(n).astype(np.float32), np.where(toxic, np.where(hits >= median, 2, 1), 0), len(place))
     return Model({word: float(w[k]) for word, k in place.items()}, [float(c) for c in cuts])
 
 

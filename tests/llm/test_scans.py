@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from corpusloom.llm import language_id, license_scan, secret_scan, toxicity
@@ -111,8 +112,8 @@ def test_toxicity_finds_labelled_words(spark):
 
 
 def test_thresholds_stay_in_order():
-    rows = [{0: 1.0}] * 20 + [{1: 1.0}] * 20 + [{2: 1.0}] * 20
-    w, cuts = toxicity.fit_ordinal(rows, [0] * 20 + [1] * 20 + [2] * 20, 3)
+    grades = np.repeat([0, 1, 2], 20)
+    w, cuts = toxicity.fit_ordinal(np.arange(60), grades, np.ones(60), grades, 3)
     assert cuts[0] < cuts[1] and w[0] < w[1] < w[2]
 
 
