@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from array import array
 
 import numpy as np
@@ -10,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import stored, table
+from .common import shared_dir, stored, table
 
 #: Tokens of a sequence, records of a shard, and bytes of a record: doc_id, seq, n_tokens, then 16-bit ids, padded.
 LENGTH, PER_SHARD = 1024, 16_384
 HEADER = 16
 STRIDE = HEADER + 2 * LENGTH
+_RECORD = np.dtype([("doc_id", "<i8"), ("seq", "<i4"), ("n_tokens", "<u4"), ("ids", "<u2", (LENGTH,))])
+#: Set in a record's n_tokens where doc_id is null.
+NO_ID = 1 << 31
 KEY, ROUNDS = 20240131, 4
 
 
@@ -95,6 +99,16 @@ def training_order(docs: DataFrame, path: str | None = None, key: int = KEY, per
     return placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot").select("slot", "shard", "record", "doc_id", "seq", "n_tokens", "ids")
 
 
+def _records(batch: pa.RecordBatch) -> np.ndarray:
+    doc_id, ids = batch.column("doc_id"), batch.column("ids")
+    n_tokens = batch.column("n_tokens").to_numpy()
+    out = np.zeros(batch.num_rows, _RECORD)
+    out["doc_id"], out["seq"] = doc_id.fill_null(0).to_numpy(), batch.column("seq").to_numpy()
+    out["n_tokens"] = n_tokens + NO_ID * doc_id.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    out["ids"][np.arange(LENGTH) < n_tokens[:, None]] = np.frombuffer(b"".join(ids.to_pylist()), "<u2")
+    return out
+
+
 def write_shards(ordered: DataFrame, path: str, block: int = 1024) -> None:
     """Write blocks of records of STRIDE bytes: rows (shard, first_slot, n, payload), in slot order, one task for each shard.
 
@@ -102,46 +116,68 @@ def write_shards(ordered: DataFrame, path: str, block: int = 1024) -> None:
     """
 
     def run(batches):
-        shard, first, buffer, count = None, None, bytearray(), 0
+        shard, first, parts, count = None, None, [], 0
 
         def flush():
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "first_slot": pa.array([first], pa.int64()), "n": pa.array([count], pa.int32()), "payload": pa.array([bytes(buffer)], pa.binary())})
+            payload = b"".join(parts)
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "first_slot": pa.array([first], pa.int64()), "n": pa.array([count], pa.int32()), "payload": pa.array([payload], pa.binary())})
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if count and (r["shard"] != shard or count == block):
+            shards, slots, at = batch.column("shard").to_numpy(), batch.column("slot").to_numpy(), 0
+            while at < len(shards):
+                if count and (shards[at] != shard or count == block):
                     yield flush()
-                    buffer, count = bytearray(), 0
+                    parts, count = [], 0
                 if not count:
-                    shard, first = r["shard"], r["slot"]
-                head = (r["doc_id"] if r["doc_id"] is not None else -1).to_bytes(8, "little", signed=True) + r["seq"].to_bytes(4, "little") + r["n_tokens"].to_bytes(4, "little")
-                buffer += (head + r["ids"]).ljust(STRIDE, b"\0")
-                count += 1
+                    shard, first = int(shards[at]), int(slots[at])
+                rest = shards[at : at + block - count]
+                other = np.flatnonzero(rest != shard)
+                m = int(other[0]) if len(other) else len(rest)
+                parts.append(_records(batch.slice(at, m)).tobytes())
+                count, at = count + m, at + m
         if count:
             yield flush()
 
     ordered.mapInArrow(run, "shard int, first_slot long, n int, payload binary").write.mode("overwrite").parquet(path)
 
 
-def read_slots(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
-    """Slots start..stop-1 of written shards, in order: slot, doc_id, seq, n_tokens, ids. Blocks outside are pruned by first_slot."""
-    blocks = spark.read.parquet(path).where((F.col("first_slot") < stop) & (F.col("first_slot") + F.col("n") > start))
+def read_shards(blocks: DataFrame, start: int = 0, stop: int | None = None) -> DataFrame:
+    """The records in blocks of slots start..stop-1 (all without stop): slot, shard, doc_id, seq, n_tokens, ids, in no order of blocks."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for b in batch.to_pylist():
-                for k in range(max(0, start - b["first_slot"]), min(b["n"], stop - b["first_slot"])):
-                    r = b["payload"][k * STRIDE : (k + 1) * STRIDE]
-                    m = int.from_bytes(r[12:16], "little")
-                    rows.append({"slot": b["first_slot"] + k, "doc_id": int.from_bytes(r[:8], "little", signed=True), "seq": int.from_bytes(r[8:12], "little"), "n_tokens": m, "ids": r[HEADER : HEADER + 2 * m]})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("n_tokens", pa.int32()), ("ids", pa.binary())]))
+            for shard, first, n, payload in zip(*(batch.column(c) for c in ("shard", "first_slot", "n", "payload")), strict=True):
+                shard, first, n = shard.as_py(), first.as_py(), n.as_py()
+                a, b = max(0, start - first), n if stop is None else min(n, stop - first)
+                if a >= b:
+                    continue
+                r = np.frombuffer(payload.as_buffer(), _RECORD, n)[a:b]
+                null, m = r["n_tokens"] >= NO_ID, (r["n_tokens"] & (NO_ID - 1)).astype(np.int32)
+                flat = r["ids"][np.arange(LENGTH) < m[:, None]].tobytes()
+                offsets = np.concatenate([[0], np.cumsum(2 * m)]).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat)])
+                columns = {"slot": pa.array(np.arange(first + a, first + b), pa.int64()), "shard": pa.array(np.full(len(m), shard), pa.int32())}
+                columns |= {"doc_id": pa.array(r["doc_id"].copy(), pa.int64(), mask=null), "seq": pa.array(r["seq"].copy(), pa.int32())}
+                yield pa.RecordBatch.from_pydict(columns | {"n_tokens": pa.array(m, pa.int32()), "ids": ids})
+
+    return blocks.mapInArrow(run, f"slot long, shard int, {_ROW}")
 
-    return blocks.mapInArrow(run, f"slot long, {_ROW}").orderBy("slot")
+
+def read_slots(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """Slots start..stop-1 of written shards, in order: slot, doc_id, seq, n_tokens, ids. Blocks outside are pruned by first_slot."""
+    blocks = spark.read.parquet(path).where((F.col("first_slot") < stop) & (F.col("first_slot") + F.col("n") > start))
+    return read_shards(blocks, start, stop).drop("shard").orderBy("slot")
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sequence of all documents at its slot, with the CRC-32 of its 16-bit ids."""
-    ordered = training_order(table(spark, sf_dir, "documents"))
-    return ordered.select("slot", "shard", "record", "doc_id", "seq", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    """Every sequence of all documents as its record in the written shards holds it, with the CRC-32 of its 16-bit ids.
+
+    The shards are written under the shared folder and read back; one partition a shard, in the order of slots.
+    """
+    path = f"{shared_dir(spark)}/training-order-{uuid.uuid4().hex}"
+    write_shards(training_order(table(spark, sf_dir, "documents")), path)
+    blocks = spark.read.parquet(path)
+    last = blocks.agg(F.max("shard")).first()[0]
+    record = (F.col("slot") - F.col("shard").cast("long") * PER_SHARD).cast("int").alias("record")
+    rows = read_shards(blocks).select("slot", "shard", record, "doc_id", "seq", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return rows.repartitionById((last or 0) + 1, F.col("shard")).sortWithinPartitions("slot")

@@ -137,3 +137,25 @@ def test_training_order_round_trip(spark, sf, texts, tmp_path):
 def test_training_order_awkward_rows(edge, nothing):
     assert training_order.training_order(edge).where("n_tokens = 1").count() == 2
     assert training_order.training_order(nothing).count() == 0
+
+
+def test_records_keep_null_and_negative_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "no id"), (-1, "minus one"), (5, None), (6, "word " * 3000)], "doc_id long, text string")
+    ordered = training_order.training_order(docs, per_shard=2)
+    want = [(r["slot"], r["doc_id"], r["seq"], r["n_tokens"], bytes(r["ids"])) for r in ordered.collect()]
+    training_order.write_shards(ordered, str(tmp_path / "shards"), block=3)
+    got = [(r["slot"], r["doc_id"], r["seq"], r["n_tokens"], bytes(r["ids"])) for r in training_order.read_slots(spark, str(tmp_path / "shards"), 0, 10**6).collect()]
+    assert got == want and {d for _, d, *_ in got} == {None, -1, 5, 6}
+
+
+def test_training_order_query_writes_what_it_reports(spark, sf, texts, tmp_path, monkeypatch):
+    monkeypatch.setattr(training_order, "shared_dir", lambda _: f"file://{tmp_path}", raising=False)
+    rows = training_order.op5_training_order(spark, sf).collect()
+    (written,) = tmp_path.glob("training-order-*")
+    held = training_order.read_slots(spark, str(written), 0, len(rows)).collect()
+    assert [(r["slot"], r["doc_id"], r["seq"], r["n_tokens"], r["ids_crc32"]) for r in rows] == [(r["slot"], r["doc_id"], r["seq"], r["n_tokens"], zlib.crc32(bytes(r["ids"]))) for r in held]
+    assert [(r["slot"], r["shard"], r["record"]) for r in rows] == [(i, *divmod(i, training_order.PER_SHARD)) for i in range(len(rows))]
+    for b in spark.read.parquet(str(written)).collect():
+        assert len(b["payload"]) == b["n"] * training_order.STRIDE
+    path = tokens.default_path()
+    assert sum(r["n_tokens"] for r in rows) == sum(len(tokens.encode(t, path)) + 1 for _, t, _ in texts)
