@@ -35,6 +35,17 @@ def test_recall_on_tables(spark):
     assert all(abs(r["score"] - x[r["query_id"]] @ x[r["vec_id"]]) < 1e-12 for r in found)
 
 
+def test_recall_where_blocks_see_little(spark, monkeypatch):
+    """Small blocks stand for a large table: what a block fetches is a small part of all vectors."""
+    monkeypatch.setattr(ann, "BLOCK", 8)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 1)
+    x = np.random.default_rng(5).normal(size=(4000, 32))
+    rows = [(i, v) for i, v in enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.nearest(df, F.col("vec_id") % 100 == 0).collect()
+    assert recall(found, brute_nearest(rows, every=100)) >= 0.9
+
+
 def test_copies_ties_and_norms(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(v) for v in rng.normal(size=8) * rng.uniform(0.1, 3)]) for i in range(400)]
