@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import stored, table
 
 SHARDS, RACKS_PER_REGION, SHARDS_PER_RACK = 16, 2, 4
-#: Numbering units per shard; a unit's rows are ranked in one task, so raise it with the rows (1,024 units x 16 shards suit some 1e10 rows).
-UNITS = 1024
+#: Rows that are ranked in one task when slots are given, on average.
+UNIT_ROWS = 65_536
 
 
 def tree(shards: int, racks_per_region: int = RACKS_PER_REGION, shards_per_rack: int = SHARDS_PER_RACK) -> list[list[list[int]]]:
@@ -20,68 +19,78 @@ def tree(shards: int, racks_per_region: int = RACKS_PER_REGION, shards_per_rack:
     return [racks[a : a + racks_per_region] for a in range(0, len(racks), racks_per_region)]
 
 
-def _draw(key: Column, shard: int, weight: float) -> Column:
-    """An exponential variable of the leaf's rate: -ln(u) / weight with u in (0, 1) from the key and the shard's number."""
-    u = (F.pmod(F.xxhash64(key, F.lit(shard)), F.lit(1 << 52)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+def _draw(key: Column, level: str, at: int, weight: float) -> Column:
+    """An exponential variable of the node's rate: -ln(u) / weight with u in (0, 1) from the key, the node's level and its number."""
+    u = (F.pmod(F.xxhash64(F.lit(level), F.lit(at), key), F.lit(1 << 52)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
     return -F.log(u) / F.lit(float(weight))
 
 
-def _least(draws: list[Column]) -> Column:
-    return F.least(*draws) if len(draws) > 1 else draws[0]
+def _choose(key: Column, level: str, nodes: list[tuple[int, float]]) -> Column:
+    """The number of the node (number, weight) with the least draw, the first of equal ones."""
+    draws = [F.struct(_draw(key, level, at, weight).alias("draw"), F.lit(at).alias("at")) for at, weight in nodes if weight > 0]
+    return F.lit(nodes[0][0]) if len(nodes) == 1 else (F.least(*draws)["at"] if len(draws) > 1 else draws[0]["at"])
 
 
-def _descend(children: list[tuple[Column, Column]]) -> Column:
-    """The value of the child with the least draw, the first of equal ones."""
-    least = _least([d for d, _ in children])
-    return F.coalesce(*[F.when(d == least, v) for d, v in children])
+def _below(chosen: Column, choices: dict[int, Column]) -> Column:
+    """The choice that belongs to the chosen node; only that one is computed for a row."""
+    first, *rest = choices.items()
+    out = F.when(chosen == first[0], first[1])
+    for at, choice in rest:
+        out = out.when(chosen == at, choice)
+    return out
 
 
 def assign(df: DataFrame, shards: int = SHARDS, key: str = "doc_id", weights: dict[int, float] | None = None, to: str = "shard", racks_per_region: int = RACKS_PER_REGION, shards_per_rack: int = SHARDS_PER_RACK) -> DataFrame:
     """Add the shard of each row as column `to` (an existing one is replaced).
 
-    A subtree's draw is the least of its leaves' draws. The least of exponential variables is exponential with the sum
-    of the rates, so this is a weighted draw with the subtree's total weight, and the descent picks region, then rack,
-    then shard. When one leaf's weight grows or a leaf is added, only the draws on its path can fall: rows move into
-    that leaf alone, and no row moves between other subtrees.
+    Every region, rack and shard has a weighted draw of its own, by the key, its level and its number; a node weighs what
+    its shards weigh together. A row goes to the region with the least draw, there to the rack with the least, there to
+    the shard. So a row costs as many draws as there are nodes beside its path, not one for each shard, and when a weight
+    changes, only draws on the path to it change: rows move into, or out of, the changed region alone; inside it into,
+    or out of, the changed rack alone; and rows that stay elsewhere keep their racks and shards. A shard that forms a
+    new region only takes rows into itself. Shards of weight 0 get nothing; one at least must weigh more.
 
-    Null keys hash like any value and share one shard; repeated keys land together; an empty table stays empty.
+    Null keys hash like any value and share one shard; repeated keys land together; an empty table stays empty. Columns that
+    start with `__tree_` are ours meanwhile.
     """
     weight = lambda s: (weights or {}).get(s, 1.0)
-    leaves = {s: F.col(f"__draws.d{s}") for s in range(shards)}
     regions = tree(shards, racks_per_region, shards_per_rack)
-    shard = _descend(
-        [
-            (_least([leaves[s] for rack in racks for s in rack]), _descend([(_least([leaves[s] for s in rack]), _descend([(leaves[s], F.lit(s)) for s in rack])) for rack in racks]))
-            for racks in regions
-        ]
-    )
-    drawn = df.withColumn("__draws", F.struct(*[_draw(F.col(key), s, weight(s)).alias(f"d{s}") for s in range(shards)]))
-    return drawn.withColumn(to, shard.cast("int")).drop("__draws")
-
-
-def number(df: DataFrame, counted: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("size", "text_crc32"), units: int = UNITS) -> DataFrame:
-    """Add `slot`, gapless from 0 in each shard, without ranking a whole shard in one task.
-
-    Each shard is cut into `units` by a hash of the key; the units' counts (from `counted`, the same rows with only key
-    and shard) give offsets, and rows are ranked inside their unit. Equal rows take adjoining slots in any order.
+    heavy = lambda nodes: sum(weight(s) for s in nodes)
+    racks = {r: {rack[0] // shards_per_rack: rack for rack in region if heavy(rack) > 0} for r, region in enumerate(regions)}
+    racks = {r: inside for r, inside in racks.items() if inside}
+    k = F.col(key)
+    region = _choose(k, "region", [(r, sum(map(heavy, inside.values()))) for r, inside in racks.items()])
+    rack = _below(F.col("__tree_region"), {r: _choose(k, "rack", [(n, heavy(rack)) for n, rack in inside.items()]) for r, inside in racks.items()})
+    leaves = {n: [(s, weight(s)) for s in rack if weight(s) > 0] for inside in racks.values() for n, rack in inside.items()}
+    shard = _below(F.col("__tree_rack"), {n: _choose(k, "shard", found) for n, found in leaves.items()})
+    placed = df.withColumn("__tree_region", region).withColumn("__tree_rack", rack).withColumn(to, shard.cast("int"))
+    return placed.drop("__tree_region", "__tree_rack")
+
+
+def number(df: DataFrame, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """Add `slot`, gapless from 0 in each shard, without ranking a whole shard in one task, whatever its keys.
+
+    The rows are written once with a number of their own, whose hash deals each shard into units; the units' counts give
+    offsets, and rows are ranked inside their unit. A key that many rows repeat is dealt like any others.
     """
-    unit = F.pmod(F.xxhash64(F.lit("unit"), F.col(key)), F.lit(units))
-    sizes = counted.groupBy("shard", unit.alias("__unit")).agg(F.count(F.lit(1)).alias("__n"))
+    kept = stored(df.withColumn("__row", F.monotonically_increasing_id()))
+    units = max(1, -(-kept.count() // unit_rows))
+    kept = kept.withColumn("__unit", F.pmod(F.xxhash64("__row"), F.lit(units)))
+    sizes = kept.groupBy("shard", "__unit").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__unit").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "__unit", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
-    ranked = df.withColumn("__unit", unit).withColumn("__rank", F.row_number().over(Window.partitionBy("shard", "__unit").orderBy(key, *order)) - 1)
-    # shards x units rows bound the broadcast
-    return ranked.join(F.broadcast(offsets), ["shard", "__unit"]).withColumn("slot", (F.col("__from") + F.col("__rank")).cast("long")).drop("__unit", "__rank", "__from")
+    ranked = kept.withColumn("__rank", F.row_number().over(Window.partitionBy("shard", "__unit").orderBy("__row")) - 1)
+    return ranked.join(offsets, ["shard", "__unit"]).withColumn("slot", (F.col("__from") + F.col("__rank")).cast("long")).drop("__row", "__unit", "__rank", "__from")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard under law `key`, its slot there, and its shard when a 17th is added.
+    """Every document's shard under law `key`, its slot there, and its shard when a 17th is added, which is a region of its own.
 
-    A null text counts as empty: size 1, CRC 0.
+    A null text counts as empty: size 1, CRC 0. Null ids share a shard, repeated rows take a slot each, and texts of any
+    length count whole; other columns aren't read; an empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     placed = assign(assign(rows), SHARDS + 1, to="grown_shard")
-    return number(placed, assign(docs.select("doc_id"))).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
-
+    return number(placed).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
