@@ -17,21 +17,25 @@ from .common import stored, table
 CAPACITY = 1024
 #: Pieces in a tile, the unit that is packed on the driver; a tile repeats as often as the corpus needs.
 TILE = 65_536
-#: Share of a tile's tokens, in its shortest pieces, that fills the bins left open.
-FILLERS = 0.2
+#: Seed of the order in which a tile's pieces of at most half a sequence are placed.
+SEED = 20240131
 
 
 def pack_tile(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
     """Rows (length, number among its length, sequence, offset) for so many pieces of each length, and the sequences.
 
-    Pieces are taken from long to short. Each goes to the gap, or to a new bin, for which the sum of the squared numbers
-    of open bins per gap becomes least. The shortest ones, FILLERS of all tokens, then go where they fit best.
+    Each piece goes to the gap, or to a new bin, for which the sum of the squared numbers of open bins per gap becomes
+    least; of equal ones to the smallest gap. Pieces of more than half a sequence come first, from long to short, as no two
+    fit together; the others follow in a fixed random order, which the rule needs to meet all lengths all along.
     """
     lengths = np.array(sorted((x for x, n in counts.items() if n), reverse=True), dtype=np.int64)
     each = np.array([counts[int(x)] for x in lengths], dtype=np.int64)
     items = np.repeat(lengths, each)
     number = np.concatenate([np.arange(n) for n in each]) if len(each) else np.empty(0, np.int64)
-    fillers = len(items) - int(np.searchsorted(np.cumsum(items[::-1]), FILLERS * items.sum()))
+    short = int(np.searchsorted(-items, -(capacity // 2)))
+    mixed = short + np.random.default_rng(SEED).permutation(len(items) - short)
+    order = np.concatenate([np.arange(short), mixed])
+    items, number = items[order], number[order]
     n = np.zeros(capacity + 1, dtype=np.int64)
     bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     at = np.empty((len(items), 2), dtype=np.int64)
@@ -40,15 +44,12 @@ def pack_tile(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndar
         gap = capacity
         if s < capacity:
             here = n[s:capacity]
-            if i < fillers:
-                change = 2 * (np.concatenate(([0], n[1 : capacity - s])) - here + 1)
-                change[0] = 1 - 2 * here[0]
-                change[here == 0] = never
-                best = int(change.argmin())
-                if change[best] <= 2 * n[capacity - s] + 1:
-                    gap = s + best
-            elif here.any():
-                gap = s + int((here > 0).argmax())
+            change = 2 * (np.concatenate(([0], n[1 : capacity - s])) - here + 1)
+            change[0] = 1 - 2 * here[0]
+            change[here == 0] = never
+            best = int(change.argmin())
+            if change[best] <= 2 * n[capacity - s] + 1:
+                gap = s + best
         if gap == capacity:
             b, made = made, made + 1
         else:
@@ -117,8 +118,9 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are the single id that ends a document. Repeated rows are packed each; columns beside doc_id and
-    text aren't read; an empty table gives no rows.
+    Null and empty texts are the single id that ends a document. Repeated rows are packed each; a null doc_id stays null;
+    columns beside doc_id and text aren't read, whatever their names; texts of any length are cut, never shortened; an
+    empty table gives no rows.
     """
     found = pieces(docs, path)
     spark = docs.sparkSession
@@ -150,6 +152,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of all documents; its docstring says what nulls, empty texts, repeated rows and empty tables give."""
     return pack(table(spark, sf_dir, "documents"))
 
 
