@@ -14,12 +14,25 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+#: Rows of an Arrow batch at most. Texts may be long, and a worker holds a batch in several forms.
+ARROW_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    if not 0 < int(spark.conf.get(_ARROW)) <= ARROW_ROWS:
+        spark.conf.set(_ARROW, ARROW_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, in a session whose Arrow batches hold ARROW_ROWS rows at most."""
+    _small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    _small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
@@ -42,18 +55,27 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only when the counted rows stay under BROADCAST_ROWS; otherwise leave a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function from a function of one batch."""
+    """A mapInArrow function from a function of one batch. At a task's end the memory pool gives back what it holds."""
 
     def run(batches):
         for batch in batches:
             out = fn(batch) if batch.num_rows else None
             if out is not None and out.num_rows:
                 yield out
+        pa.default_memory_pool().release_unused()
 
     return run

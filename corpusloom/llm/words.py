@@ -9,7 +9,8 @@ SHINGLE = 5
 #: Odd multipliers for the places in a shingle, and of the final mixing.
 _PLACES = np.array([xxhash.xxh3_64_intdigest(b"place%d" % i) | 1 for i in range(64)], dtype=np.uint64)
 _MIX = [np.uint64(xxhash.xxh3_64_intdigest(b"mix%d" % i) | 1) for i in range(2)]
-_CACHE_WORDS = 300_000
+#: Hashes of words that a worker keeps; beyond it starts anew.
+_CACHE_WORDS = 50_000
 
 
 class _WordHash(dict):

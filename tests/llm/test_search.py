@@ -1,6 +1,10 @@
 """Nearest neighbours and decontamination against brute force, and the pipeline as a whole."""
 
+import itertools
+
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -67,18 +71,47 @@ def test_few_and_no_vectors(spark):
     assert ann.nearest(few, F.lit(False)).count() == 0
 
 
-def shingles(text):
-    w = split(text)
-    k = min(5, len(w))
-    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+def common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def brute_found(item, text):
+    """Whether any passage of the text holds the item by the stated rule, without an index."""
+    question, answer = decontaminate.question_answer(item)
+    ws, doc = question + answer, split(text)
+    k = min(5, len(ws))
+    stride = max(64, 64 << max(0, (len(ws) - 1) // 64).bit_length() >> 1) if len(ws) > 64 else 64
+    enough = lambda q, a: q >= 0.5 * len(question) and a >= 0.5 * len(answer)
+    for start in range(0, max(1, -(-len(doc) // stride) - 1) * stride, stride):
+        part = doc[start : start + 2 * stride]
+        runs = {tuple(part[i : i + k]) for i in range(len(part) - k + 1)}
+        held = [tuple(ws[i : i + k]) in runs for i in range(len(ws) - k + 1)]
+        if sum(held) >= 0.75 * len(held):
+            covered = {i + j for i, h in enumerate(held) if h for j in range(k)}
+            if enough(sum(i < len(question) for i in covered), sum(i >= len(question) for i in covered)):
+                return True
+        if len(set(part) & set(ws)) >= 0.5 * len(set(ws)):
+            n, q = common_length(ws, part), common_length(question, part)
+            if n >= 0.75 * len(ws) and enough(q, n - q):
+                return True
+    return False
 
 
 def test_leaks_of_whole_table(spark, texts, sf):
-    items = {r["item_id"]: shingles(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    """The query's items are those of a search of every passage for every item, no more and no fewer."""
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     got = {r["doc_id"]: set(r["item_ids"]) for r in decontaminate.op8_decontaminate(spark, sf).collect()}
+    vocabulary = {i: set(split(t)) for i, t in items.items()}
+    assert max(len(split(t)) for t in items.values()) <= 64
     for d, t, _ in texts:
-        s = shingles(t)
-        assert {i for i, x in items.items() if len(x & s) >= 0.75 * len(x)} <= got[d]
+        held = set(split(t))
+        # 3/4 of the words in order need 1/2 of the distinct ones at least here
+        assert {i for i, x in items.items() if len(vocabulary[i] & held) >= 0.5 * len(vocabulary[i]) and brute_found(x, t)} == got[d]
     assert sum(map(bool, got.values())) < 0.2 * len(got)
 
 
@@ -86,36 +119,76 @@ def test_planted_and_edited_items(spark, edge, nothing):
     rng = np.random.default_rng(3)
     vocabulary = [f"v{i}" for i in range(3000)]
     item = [rng.choice(vocabulary, 40).tolist() for _ in range(30)]
-    items = spark.createDataFrame([(i, " ".join(w[:30]) + ". " + " ".join(w[30:]) + ".") for i, w in enumerate(item)] + [(99, None), (98, "")], "item_id long, text string")
+    long = rng.choice(vocabulary, 700).tolist()
+    told = [(i, " ".join(w[:30]) + ". " + " ".join(w[30:]) + ".") for i, w in enumerate(item)]
+    items = spark.createDataFrame(told + [(50, " ".join(long[:600]) + ". " + " ".join(long[600:])), (99, None), (98, "")], "item_id long, text string")
     noise = lambda n: rng.choice(vocabulary, n).tolist()
     edited = list(item[4])
     edited[10], edited[25] = "changed", "also"
-    docs = [(0, noise(500) + item[3] + noise(500)), (1, noise(200) + edited + noise(90)), (2, noise(1500)), (3, item[7][:15] + noise(300)), (4, noise(63) + item[9])]
-    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
-    got = {r["doc_id"]: [x["item_id"] for x in r["__items"]] for r in decontaminate.annotate(df, items).collect()}
-    assert got == {0: [3], 1: [4], 2: [], 3: [], 4: [9]}
+    spread = [w for i, w in enumerate(item[6]) for w in ([w, "put", "in"] if i % 4 == 3 else [w])]
+    docs = [
+        (0, noise(500) + item[3] + noise(500)), (1, noise(200) + edited + noise(90)), (2, noise(1500)), (3, item[7][:15] + noise(300)), (4, noise(63) + item[9]),
+        (5, noise(100) + item[5][:30] + noise(200)), (6, noise(40) + spread), (7, noise(333) + long + noise(50)), (8, item[8][25:] + noise(10)),
+    ]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").withColumn("found_items", F.lit("theirs"))
+    got = {r["doc_id"]: [x["item_id"] for x in r["mine"]] for r in decontaminate.annotate(df, items, to="mine").collect()}
+    assert got == {0: [3], 1: [4], 2: [], 3: [], 4: [9], 5: [], 6: [6], 7: [50], 8: []}
     assert decontaminate.annotate(edge, items).count() == edge.count()
     assert decontaminate.annotate(nothing, items).count() == 0
-    assert decontaminate.annotate(df, items.limit(0)).where("size(__items) > 0").count() == 0
+    assert decontaminate.annotate(df, items.limit(0)).where("size(found_items) > 0").count() == 0
+
+
+def test_stage_keeps_columns_of_any_name(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    df = spark.createDataFrame([(1, "x " + item, 5), (2, "clean text", 6), (2, None, 7)], "doc_id long, text string, found_items int")
+    kept = decontaminate.stage(spark, df, sf)
+    assert sorted((r["doc_id"], r["found_items"]) for r in kept.collect()) == [(2, 6), (2, 7)] and kept.columns == df.columns
+
+
+def test_a_question_without_its_answer_is_no_leak():
+    question, answer = [f"q{i}" for i in range(40)], ["forty", "two", "litres"]
+    index = decontaminate.Index([(1, " ".join(question) + ". " + " ".join(answer))], dict.fromkeys([w.encode() for w in question + answer], 1), 1, 43.0)
+    assert index.find([[w.encode() for w in question]]) == [{}]
+    assert set(index.find([[w.encode() for w in question + answer]])[0]) == {0}
 
 
 def test_pruning_hides_nothing():
     rng = np.random.default_rng(9)
     vocabulary = [b"t%d" % i for i in range(200)]
-    texts = [b" ".join(rng.choice(vocabulary, 12)).decode() for _ in range(60)]
+    share = 1 / np.arange(1, 201)
+    draw = lambda n: rng.choice(vocabulary, n, p=share / share.sum())
+    texts = [b" ".join(draw(12)).decode() for _ in range(60)]
     df = {}
     for t in texts:
         for w in set(split(t)):
             df[w] = df.get(w, 0) + 1
     index = decontaminate.Index(list(enumerate(texts)), df, len(texts), 12.0)
-    docs = [rng.choice(vocabulary, n).tolist() for n in (300, 64, 10, 129)]
+    docs = [np.array([index.vocabulary[w] for w in draw(n).tolist()], np.int32) for n in (300, 64, 10, 129, 5)]
     weight = {(t, int(i)): w for t in range(len(index.start) - 1) for i, w in zip(index.item[index.start[t] : index.start[t + 1]], index.weight[index.start[t] : index.start[t + 1]], strict=True)}
     want = set()
     for d, ws in enumerate(docs):
         for k in range(max(1, -(-len(ws) // index.stride) - 1)):
-            held = {index.vocabulary[w] for w in ws[k * index.stride : (k + 2) * index.stride]}
-            want |= {(d, k * index.stride, i) for i in range(60) if sum(weight.get((t, i), 0) for t in held) >= decontaminate.THRESHOLD}
-    assert {r[:3] for r in index.retrieve(docs)} == want
+            held = set(ws[k * index.stride : (k + 2) * index.stride].tolist())
+            want |= {(d, k * index.stride, i) for i in range(60) if sum(weight.get((t, i), 0) for t in held) >= 1 - 1e-9}
+    assert {r[:3] for r in index.retrieve(docs)} == want and want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=14), st.lists(st.integers(-1, 5), max_size=20), st.data())
+def test_words_in_order(ws, passage, data):
+    q = data.draw(st.integers(0, len(ws)))
+    got = decontaminate.in_order(np.array(ws, np.int32), np.array(passage, np.int32), q)
+    assert sum(got) == common_length(ws, passage) and got[0] == common_length(ws[:q], passage)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.floats(0.01, 9), st.integers(1, 4)), min_size=1, max_size=8))
+def test_least_share_bounds_every_choice(weights):
+    """No choice of whole occurrences to lose, up to a quarter of all, leaves less of the score."""
+    n = sum(k for _, k in weights)
+    least = decontaminate.least_share(weights, n)
+    lost = max(sum(w for w, g in zip((w for w, _ in weights), gone, strict=True) if g) for gone in itertools.product((0, 1), repeat=len(weights)) if sum(k for (_, k), g in zip(weights, gone, strict=True) if g) <= n * 0.25)
+    assert least <= 1 - lost / sum(w for w, _ in weights) + 1e-9
 
 
 def test_pipeline(spark, sf):
