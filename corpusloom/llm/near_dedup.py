@@ -7,6 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .common import checkpoint, maybe_broadcast, per_batch, stored, table
@@ -16,23 +17,31 @@ from .words import SHINGLE, shingles
 BANDS, ROWS = 32, 4
 #: 100 * intersection >= PERCENT * union makes a link.
 PERCENT = 75
-#: Buckets up to this size compare all their components at once; larger ones go through pivots first.
-SMALL_BUCKET = 32
+#: Members that a hub's text is sent out for once, so that a large group is compared by many tasks.
+CHUNK = 1024
+#: Outer members of a group that all others are compared with at once, where all they share may lie in the hub.
+PIVOTS = 64
 
 _rng = np.random.default_rng(20240131)
-_A = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_A = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
 _BAND_MUL = np.array([xxhash.xxh3_64_intdigest(b"row%d" % i) | 1 for i in range(ROWS)], dtype=np.uint64)
 _BAND_ADD = np.array([xxhash.xxh3_64_intdigest(b"band%d" % i) for i in range(BANDS)], dtype=np.uint64)
 
 
 def minima(found: np.ndarray) -> np.ndarray:
-    """The least value of each of the BANDS * ROWS functions a*x+b mod 2^32 (a odd) over a shingle set."""
-    x = (found >> np.uint64(32)).astype(np.uint32)
-    out = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
-    for i in range(0, len(x), 2048):
-        np.minimum(out, (x[i : i + 2048, None] * _A + _B).min(axis=0), out=out)
-    return out
+    """The least value of each of the BANDS * ROWS functions over a shingle set.
+
+    A function takes the upper 32 bits of a shingle's hash to the upper 32 bits of a*x+b mod 2^64, with random 64-bit a and
+    b: multiply-add-shift, a 2-universal family. The least 64-bit value has the least upper half, so it is shifted last.
+    """
+    x = found >> np.uint64(32)
+    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(x), 1024):
+        v = x[i : i + 1024, None] * _A
+        v += _B
+        np.minimum(out, v.min(axis=0), out=out)
+    return out >> np.uint64(32)
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
@@ -43,63 +52,66 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 
 
 def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-    ids, sizes, keys, bands = batch.column(0), [], [], []
-    for text in batch.column(1).to_pylist():
-        s = shingles(text)
+    sizes, keys, bands = [], [], []
+    for text in batch.column("text"):
+        s = shingles(text.as_py())
         sizes.append(len(s))
         keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
         bands.append(band_keys(minima(s)) if len(s) else None)
-    return pa.RecordBatch.from_arrays(
-        [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"]
-    )
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, set_key (128-bit digest of the shingle set), bands (64-bit keys)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(per_batch(_sign), "doc_id long, n_shingles long, set_key binary, bands array<long>")
-
-
-class _Sets(dict):
-    """Shingle sets of the last few texts, as a hub's pairs come together."""
-
-    def __missing__(self, text: str) -> np.ndarray:
-        if len(self) > 64:
-            self.clear()
-        self[text] = found = shingles(text)
-        return found
+    for name, values in (("n_shingles", pa.array(sizes, pa.int64())), ("set_key", pa.array(keys, pa.binary())), ("bands", pa.array(bands, pa.list_(pa.int64())))):
+        batch = batch.append_column(name, values)
+    return batch
 
 
-def _compare(batches):
-    sets = _Sets()
-    for batch in batches:
-        common, linked = [], []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = sets[a], sets[b]
-            common.append(n := len(np.intersect1d(x, y, assume_unique=True)))
-            linked.append(n > 0 and 100 * n >= PERCENT * (len(x) + len(y) - n))
-        if common:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "common", "linked"])
+def signatures(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """One row per document: row (a unique number), doc_id, text, n_shingles, set_key (128-bit digest of the shingle set), bands (64-bit keys).
 
-
-def _beyond(batches):
-    sets = _Sets()
-    for batch in batches:
-        found = [np.setdiff1d(sets[b], sets[a], assume_unique=True) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        if found:
-            sizes = [len(x) for x in found]
-            hub, rep = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(hub, pa.int64()), pa.array(rep, pa.int64()), pa.array(np.concatenate(found).view(np.int64))], ["hub", "rep", "shingle"])
-
-
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) with both texts; b's come first, so that a hub's text isn't shuffled again."""
-    member = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return member.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-
-
-def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the size of the intersection of their full sets, and whether they are similar enough. texts: doc_id, text."""
-    return _with_texts(pairs, texts).mapInArrow(_compare, "a long, b long, common long, linked boolean")
+    With whole, also a struct `rest` of all columns but text, which keeps their names apart from these. The table is written
+    once, so the numbers stay the same for all who read it.
+    """
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")] if whole else []
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
+    new = [StructField("n_shingles", LongType()), StructField("set_key", BinaryType()), StructField("bands", ArrayType(LongType()))]
+    return stored(rows.mapInArrow(per_batch(_sign), StructType([*rows.schema.fields, *new])))
+
+
+def _compare(with_rest: bool):
+    """Members against their hub, whose row comes before theirs: the sizes, what is common, and what the hub lacks of a member."""
+
+    def run(batches):
+        key, hub = None, np.empty(0, np.uint64)
+        for batch in batches:
+            rows = []
+            for h, chunk, kind, rep, text in zip(*batch.columns, strict=True):
+                found = shingles(text.as_py())
+                if not kind.as_py():
+                    key, hub = (h, chunk), found
+                    continue
+                assert key == (h, chunk), "a hub's row is missing"
+                at = np.minimum(np.searchsorted(hub, found), len(hub) - 1)
+                held = hub[at] == found
+                n = int(held.sum())
+                linked = 100 * n >= PERCENT * (len(hub) + len(found) - n)
+                rows.append((h.as_py(), rep.as_py(), len(found), n, linked, found[~held].view(np.int64) if with_rest else None))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["hub", "rep", "size", "common", "linked", "beyond"])
+
+    return run
+
+
+def compare(pairs: DataFrame, texts: DataFrame, with_rest: bool = False) -> DataFrame:
+    """Pairs (hub, rep) with the rep's size, what is common, whether they are similar enough, and the shingles beyond the hub.
+
+    A hub's text is sent once for CHUNK of its members, not once a pair, and its members stream past it, so no group is held.
+    texts: row, text.
+    """
+    many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    members = pairs.join(many, "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("kind"), "rep")
+    hubs = many.select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"), F.col("hub").alias("rep"))
+    told = members.unionByName(hubs).join(texts.withColumnRenamed("row", "rep"), "rep").select("hub", "chunk", "kind", "rep", "text")
+    dealt = told.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "kind", "rep")
+    return dealt.mapInArrow(_compare(with_rest), "hub long, rep long, size long, common long, linked boolean, beyond array<long>")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -123,126 +135,151 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = new
 
 
-def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with components merged along links between components."""
-    merged = connected_components(links.select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("__new"))
-    return checkpoint(members.join(merged, "component", "left").select("rep", F.coalesce("__new", "component").alias("component")))
+def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (rep, component) with components merged along links (hub, rep) between members."""
+    of = [labels.select(F.col("rep").alias(x), F.col("component").alias(c)) for x, c in (("hub", "a"), ("rep", "b"))]
+    merged = connected_components(links.select("hub", "rep").join(of[0], "hub").join(of[1], "rep").select("a", "b"))
+    return checkpoint(labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("rep", F.coalesce("to", "component").alias("component")))
 
 
-def _can_pass(common: Column, size: Column, other: Column) -> Column:
+def _may_pass(common: Column, size: Column, other: Column) -> Column:
     """Sets of these sizes that have at most `common` shingles in common may still be similar enough."""
     return 100 * common >= PERCENT * (size + other - common)
 
 
-def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, component) of the classes of equal sets that share a bucket with another class. classes: rep, size, bands.
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("hub"), F.greatest(x, y).alias("rep")]
+
+
+def _other(members: DataFrame, *names: str) -> DataFrame:
+    """The same members as the other side of a join on `names`, behind o_."""
+    return members.select(*names, *[F.col(c).alias(f"o_{c}") for c in members.columns if c not in names])
+
+
+def _sharing_beyond(members: DataFrame) -> DataFrame:
+    """Pairs (hub, rep) of different components that may be similar and share a shingle which their hub lacks.
+
+    An outer member shares at most `common` shingles with anyone inside the hub, so it needs 3/4 of its size less that many
+    beyond it: its rarest shingles there, all but need - 1 of them, meet every partner. Shingles that no other component
+    holds count as absent.
+    """
+    each = members.select("hub", "rep", "size", "common", "component", "outer", F.explode("beyond").alias("shingle"))
+    often = each.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hub", "shingle", "often")
+    by_member = Window.partitionBy("hub", "rep")
+    held = each.join(often, ["hub", "shingle"]).withColumn("place", F.row_number().over(by_member.orderBy("often", "shingle"))).withColumn("extra", F.count(F.lit(1)).over(by_member))
+    held = stored(held.drop("often"))
+    need = F.ceil(PERCENT * F.col("size") / 100) - F.col("common")
+    outer = held.where(F.col("outer") & (F.col("place") <= F.col("extra") - F.greatest(need, F.lit(1)) + 1))
+    other = _other(held.select("hub", "shingle", "rep", "size", "common", "component", "extra"), "hub", "shingle")
+    fits = _may_pass(F.least("common", "o_common") + F.least("extra", "o_extra"), F.col("size"), F.col("o_size"))
+    apart = F.col("component") != F.col("o_component")
+    return outer.join(other, (outer["hub"] == other["hub"]) & (outer["shingle"] == other["shingle"]) & apart & fits).select(*_pair("rep", "o_rep")).distinct()
+
+
+def _inside(members: DataFrame) -> DataFrame:
+    """Members whom what they share with the hub may suffice for, with the cells of their intervals.
+
+    Two of them may pass by the hub's shingles alone when size + other size <= 7/3 of the smaller `common`, that is, when
+    their intervals [size, 7/3 common - size] overlap. Cells grow by 4/3, as no interval is longer, so one lies in two at most.
+    """
+    reach = (100 + PERCENT) * F.col("common") / PERCENT - F.col("size")
+    cell = lambda x: F.floor(F.log(x) / F.log(F.lit(100 / PERCENT)) + 1e-9)
+    wide = members.where(reach >= F.col("size"))
+    return wide.select("hub", "rep", "size", "common", "outer", F.explode(F.sequence(cell(F.col("size")), cell(reach * (1 + 1e-9)))).alias("cell"))
+
+
+def link_classes(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(rep, component) of the classes of equal sets that share a bucket with another class. classes: rep, bands; rows: row, text.
 
     Work in a bucket never takes all pairs of similar texts, and no link is lost. First each member is compared with the
-    bucket's hub, the member with the most company over all its buckets; links merge components, and a bucket whose
-    members are all in one component is done. In large buckets that aren't, two members either share a shingle that the
-    hub lacks, and then an equal join on such shingles finds them; or all they share is the hub's, which is no more
-    than each shares with it. That bound rules out nearly everyone who isn't linked with the hub. Those it leaves outside
-    the hub's component meet all members of other components whom they may pass with, at once in buckets with up to
-    SMALL_BUCKET of them, else a growing share of them at a time, so that those who find a link needn't go on.
+    bucket's hub, the member with the most company over all its buckets, and links make components. Only where a hub has
+    members outside its component do pairs remain. Two such members either share a shingle that the hub lacks, and an equal
+    join on those finds them; or all they share lies in the hub, and a join on intervals of sizes finds them. That join takes
+    PIVOTS outer members of a group at a time, a growing number, so that those who find a link needn't go on.
     """
-    rows = classes.select("rep", "size", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(rows.join(shared, "bucket").select("bucket", "rep", "size", "n"))
-    company = members.groupBy("rep").agg(F.sum("n").alias("company"), F.first("size").alias("size"))
-    known = checkpoint(company)
-    labels = known.select("rep", F.col("rep").alias("component"))
-    hubs = members.join(known.select("rep", "company"), "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub"))
-    ids = known.select(F.col("rep").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(maybe_broadcast(ids, known.count()), "doc_id", "left_semi")
-    texts = stored(texts)
-
-    def pair(x: str, y: str) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    def merge(labels: DataFrame, found: DataFrame) -> DataFrame:
-        of = labels.select(F.col("rep").alias("a"), F.col("component").alias("ca")), labels.select(F.col("rep").alias("b"), F.col("component").alias("cb"))
-        return _relabel(labels, found.where("linked").join(of[0], "a").join(of[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-
-    def apart(members: DataFrame) -> DataFrame:
-        """Members with their components, of the buckets that hold more than one."""
-        at = members.join(labels, "rep")
-        return at.join(at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "bucket")
-
-    with_hub = members.join(hubs, "bucket").where("rep <> hub")
-    done = checkpoint(compare(with_hub.select(*pair("rep", "hub")).distinct(), texts))
-    labels = merge(labels, done)
-    seen = done.select("a", "b")
-    left = checkpoint(apart(members.where("n > 2").join(hubs, "bucket")))
-    of_hub = left.where(F.col("n") > SMALL_BUCKET).select("hub", "rep", "component", "size").distinct()
-    beyond = _with_texts(of_hub.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")), texts).mapInArrow(_beyond, "hub long, rep long, shingle long")
-    beyond = stored(beyond.join(of_hub, ["hub", "rep"]))
-    both = beyond.groupBy("hub", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("often")).where("lo < hi").drop("lo", "hi")
-    shares = done.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "common").unionByName(done.select(F.col("b").alias("rep"), F.col("a").alias("hub"), "common"))
-    again = beyond.join(both, ["hub", "shingle"]).join(shares, ["rep", "hub"])
-    again = checkpoint(again.join(again.groupBy("hub", "rep").agg(F.count(F.lit(1)).alias("extra")), ["hub", "rep"]))
-    hub_label = labels.select(F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
-    least = of_hub.groupBy("hub").agg(F.min("size").alias("least"))
-    # who isn't linked with the hub must share so many shingles that the hub lacks; so its rarest ones, all but need - 1, find each partner
-    need = F.ceil(PERCENT * (F.col("size") + F.greatest("least", F.ceil(PERCENT * F.col("size") / 100))) / (100 + PERCENT)) - F.col("common")
-    outer = again.join(hub_label, "hub").where("component <> hub_component").join(least, "hub")
-    place = F.row_number().over(Window.partitionBy("hub", "rep").orderBy("often", "shingle"))
-    outer = outer.withColumn("place", place).where(F.col("place") <= F.col("extra") - F.greatest(need, F.lit(1)) + 1)
-    other = again.select("hub", "shingle", F.col("rep").alias("other"), F.col("component").alias("oc"), F.col("size").alias("o_size"), F.col("common").alias("o_common"), F.col("extra").alias("o_extra"))
-    fits = _can_pass(F.least("common", "o_common") + F.least("extra", "o_extra"), F.col("size"), F.col("o_size"))
-    pairs = outer.join(other, ["hub", "shingle"]).where((F.col("component") != F.col("oc")) & fits).select(*pair("rep", "other")).distinct()
-    pairs = checkpoint(compare(pairs.join(seen, ["a", "b"], "left_anti"), texts))
-    labels = merge(labels, pairs)
-    seen = seen.unionByName(pairs.select("a", "b"))
-    left = left.drop("component").join(shares, ["rep", "hub"], "left").withColumn("common", F.when(F.col("n") > SMALL_BUCKET, F.coalesce("common", "size")).otherwise(F.col("size")))
-    least = left.groupBy("bucket").agg(F.min("size").alias("least"))
-    left = left.join(least, "bucket").where(_can_pass(F.col("common"), F.col("size"), F.greatest("least", "common"))).drop("least")
-    share = SMALL_BUCKET
+    each = classes.select("rep", F.explode("bands").alias("bucket"))
+    shared = checkpoint(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = stored(each.join(maybe_broadcast(shared, shared.count()), "bucket"))
+    company = checkpoint(members.groupBy("rep").agg(F.sum("n").alias("company")))
+    known = company.count()
+    texts = stored(rows.select("row", "text").join(maybe_broadcast(company.select(F.col("rep").alias("row")), known), "row", "left_semi"))
+    hubs = members.join(maybe_broadcast(company, known), "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub"))
+    with_hub = members.join(hubs, "bucket").where("rep <> hub").select("hub", "rep").distinct()
+    done = stored(compare(checkpoint(with_hub), texts, with_rest=True))
+    own = company.select("rep", F.col("rep").alias("component"))
+    labels = _relabel(own, done.where("linked"))
+
+    def labelled(labels: DataFrame) -> DataFrame:
+        at = done.join(labels, "rep").join(labels.select(F.col("rep").alias("hub"), F.col("component").alias("hub_component")), "hub")
+        at = at.withColumn("outer", F.col("component") != F.col("hub_component"))
+        return at.join(at.groupBy("hub").agg(F.bool_or("outer").alias("open"), F.count(F.lit(1)).alias("n")).where("open and n > 1").select("hub"), "hub")
+
+    seen = done.select(*_pair("hub", "rep"))
+    left = stored(labelled(labels))
+    inside = checkpoint(_inside(left))
+    found = _sharing_beyond(left)
+    share = PIVOTS
     while True:
-        left = checkpoint(apart(left))
-        if left.isEmpty():
-            return labels
-        hub_label = labels.select(F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
-        outer = left.join(hub_label, "hub").where("component <> hub_component")
-        many = outer.groupBy("bucket").agg(F.count(F.lit(1)).alias("outside"))
+        at = inside.join(labels, "rep")
+        outside = at.where("outer").groupBy("hub", "cell").agg(F.count(F.lit(1)).alias("outside"))
         draw = F.pmod(F.xxhash64("rep", F.lit(share)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        pivots = outer.join(many, "bucket").where(draw * F.col("outside") < share)
-        p = pivots.select("bucket", F.col("rep").alias("pivot"), F.col("component").alias("pc"), F.col("size").alias("p_size"), F.col("common").alias("p_common"))
-        fits = _can_pass(F.least("common", "p_common"), F.col("size"), F.col("p_size"))
-        pairs = left.join(p, "bucket").where((F.col("component") != F.col("pc")) & fits).select(*pair("rep", "pivot")).distinct()
-        pairs = checkpoint(compare(pairs.join(seen, ["a", "b"], "left_anti"), texts))
-        seen = seen.unionByName(pairs.select("a", "b"))
-        labels = merge(labels, pairs)
-        left = left.join(many.where(F.col("outside") > share).select("bucket"), "bucket").drop("component")
-        share *= 4
+        pivots = _other(at.where("outer").join(outside, ["hub", "cell"]).where(draw * F.col("outside") < share).select("hub", "cell", "rep", "size", "common", "component"), "hub", "cell")
+        fits = _may_pass(F.least("common", "o_common"), F.col("size"), F.col("o_size"))
+        apart = F.col("component") != F.col("o_component")
+        met = at.join(pivots, (at["hub"] == pivots["hub"]) & (at["cell"] == pivots["cell"]) & apart & fits).select(*_pair("rep", "o_rep"))
+        pairs = checkpoint((met if found is None else met.unionByName(found)).distinct().join(seen, ["hub", "rep"], "left_anti"))
+        compared = checkpoint(compare(pairs, texts).select("hub", "rep", "linked"))
+        if not compared.where("linked").isEmpty():
+            labels = _relabel(labels, compared.where("linked"))
+        crowded = outside.where(F.col("outside") > share).select("hub", "cell")
+        inside = checkpoint(inside.join(crowded, ["hub", "cell"]))
+        if inside.isEmpty():
+            return labels
+        seen, found, share = seen.unionByName(pairs), None, 4 * share
+
+
+def _judged(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Rows of signatures() with component_id, the smallest doc_id of the row's component, and first, whether it is the component's first row."""
+    sig = signatures(docs, whole)
+    # the first row of a class or component has its smallest doc_id, and those without one come last
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = sig.where("n_shingles > 0").groupBy("set_key").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("rep", F.col("least.row")))
+    linked = link_classes(classes.select("rep", "bands"), sig)
+    at = classes.select("set_key", "rep", "least", "copies").join(linked, "rep", "left").where("copies > 1 or component is not null")
+    at = stored(at.select("set_key", "least", F.coalesce("component", "rep").alias("component")))
+    first = at.groupBy("component").agg(F.min("least").alias("least"))
+    to = at.select("set_key", "component").join(first, "component").select("set_key", F.col("least.doc_id").alias("to_id"), F.col("least.row").alias("to_row"))
+    found = sig.join(to, "set_key", "left")
+    own = F.col("to_row").isNull()
+    return found.withColumn("component_id", F.when(own, F.col("doc_id")).otherwise(F.col("to_id"))).withColumn("first", own | (F.col("row") == F.col("to_row")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Links: equal shingle sets, and sets with 100 * intersection >= 75 * union. component_id is the smallest doc_id
-    reachable; kept says that it is the row's own. Null and blank texts have no shingles and stand alone. Rows are judged
-    by their own text; equal rows repeat in the result, and other texts under one doc_id are compared under that id. A row
-    without doc_id takes part in no link across different sets; it is kept when its class has no id at all. Columns
-    beside doc_id and text are ignored. Long texts are hashed whole, in blocks.
+    reachable; kept says that it is the row's own. Null and blank texts have no shingles and stand alone. Rows are judged by
+    their own text, not their id: equal rows repeat in the result, and different texts under one doc_id, or without one, are
+    linked as any others. component_id is null where no row reachable has an id; kept holds for those too. Columns
+    beside doc_id and text, whatever their names, are ignored. Long texts are hashed whole, in blocks. An empty table gives no rows.
     """
-    sig = stored(signatures(docs))
-    sets = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
-    linked = link_classes(sets.select("rep", "size", "bands"), docs)
-    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    to = classes.join(linked, "rep", "left").where("copies > 1 or component is not null").select("set_key", F.coalesce("component", "rep").alias("component"))
-    own = F.coalesce(F.col("component"), F.col("doc_id"))
-    return sig.join(to, "set_key", "left").select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return _judged(docs).select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents; its docstring says what nulls, blank texts and repeated ids give."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: one document of each group stays, the one with the smallest id; rows without doc_id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    whole = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return whole.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """Pipeline: one row of each component stays, the one with the smallest doc_id, those without an id last.
+
+    Rows are told apart by their place in the table, so different texts under one doc_id stay when nothing resembles them.
+    Null and blank texts stay; an empty table stays empty; all columns pass through under any names.
+    """
+    kept = _judged(docs, whole=True).where("first")
+    return kept.select(*[F.col("text").cast(docs.schema["text"].dataType).alias("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
-__all__ = ["SHINGLE", "connected_components", "near_duplicates", "op1_near_dedup", "signatures", "stage"]
+__all__ = ["SHINGLE", "compare", "connected_components", "near_duplicates", "op1_near_dedup", "signatures", "stage"]
