@@ -10,8 +10,9 @@ from pyspark.sql.window import Window
 
 from .common import per_batch, table
 
-#: Bounds of what is learned: texts per language, characters of each, languages. They bound the driver to 64 MB.
-TEXTS, TEXT_CHARS, LANGUAGES = 256, 512, 256
+#: Bounds of what is learned: texts a language, characters of one, bytes a language, and bytes of all languages, which
+#: shrink every language's share where there are many. The last bounds the driver.
+TEXTS, TEXT_CHARS, DICTIONARY_BYTES, ALL_BYTES = 256, 2048, 1 << 17, 1 << 26
 #: Texts are encoded in blocks, so that the dictionary counts all along a long text.
 BLOCK_BYTES = 4096
 #: A fast level leaves literals as they are, so a size shows what the dictionary matched; held-out accuracy was best with it.
@@ -28,17 +29,22 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary per language of labelled rows that aren't held out.
 
-    At most TEXTS rows a language, those with the smallest id hashes, and TEXT_CHARS of each go in: this bounds what is
-    gathered. Beyond LANGUAGES languages, the first ones by name are learned.
+    The sample: of each language at most TEXTS rows, those with the smallest id hashes; of a longer text the TEXT_CHARS that
+    begin at a place its hash chooses; as many of these as fill the language's share of bytes. No language is left out.
     """
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    cut = F.substring("text", 1, TEXT_CHARS).alias("text")
-    first = rows.select("lang", "doc_id", cut).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= TEXTS)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    spare = F.greatest(F.length("text") - TEXT_CHARS, F.lit(0))
+    part = F.substring("text", F.pmod(F.xxhash64("doc_id", F.length("text")), (spare + 1).cast("long")).cast("int") + 1, F.lit(TEXT_CHARS)).alias("text")
+    first = rows.select("lang", "doc_id", part).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= TEXTS)
+    filled = Window.partitionBy("lang").orderBy("__n").rowsBetween(Window.unboundedPreceding, -1)
+    first = first.withColumn("__before", F.coalesce(F.sum(F.octet_length("text")).over(filled), F.lit(0)))
+    languages = max(1, rows.select("lang").distinct().count())
+    share = min(DICTIONARY_BYTES, ALL_BYTES // languages)
     found: dict[str, list[bytes]] = {}
-    for r in first.orderBy("lang", "__n").limit(TEXTS * LANGUAGES).collect():
+    for r in first.where(F.col("__before") < share).orderBy("lang", "__n").toLocalIterator():
         found.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "replace"))
-    return {lang: b"\n".join(texts) for lang, texts in found.items()}
+    return {lang: b"\n".join(texts)[:share] for lang, texts in found.items()}
 
 
 class Classifier:
@@ -67,7 +73,8 @@ def identify(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
     """Per row of docs: doc_id, held_out, lang_pred, score, rejected (a narrow margin; the best guess still stands).
 
     Null texts, texts without a letter, and all texts where nothing was learned are `und` with score 0. Ties go to the
-    first language by name; repeated rows repeat; columns beside doc_id and text aren't read.
+    first language by name; repeated rows repeat; long texts are encoded whole, in blocks; an empty table gives no rows;
+    columns beside doc_id and text aren't read, whatever their names.
     """
 
     def run(batches):
@@ -85,5 +92,6 @@ def identify(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those not held out; learn() and identify() say what awkward rows give."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, learn(docs))
