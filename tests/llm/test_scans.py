@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from corpusloom.llm import language_id, license_scan, secret_scan, toxicity
 
@@ -91,6 +92,25 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_is_that_of_the_smallest_size():
+    """Against plain zstandard, block by block."""
+    learned = {"x": b"the quick brown fox jumps over the lazy dog " * 20, "y": "der schnelle braune Fuchs springt über den Hund ".encode() * 20}
+    for text in ("quick foxes and lazy dogs", "braune Füchse springen", "the dog " * 3000, "zzz"):
+        raw, sizes = text.encode(), {}
+        for name, d in learned.items():
+            c = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[name] = sum(len(c.compress(raw[i : i + 4096])) for i in range(0, len(raw), 4096))
+        best, other = sorted(sizes.items(), key=lambda x: (x[1], x[0]))
+        assert language_id.Classifier(learned).predict(text) == (best[0], 1 - best[1] / other[1], 1 - best[1] / other[1] < language_id.MARGIN)
+
+
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "ALL_BYTES", 40_000)
+    rows = [(i, f"word{i % 200} of language{i % 200} " * 20, f"l{i % 200}") for i in range(1600)] + [(5000, "x" * 10_000, "l0")]
+    learned = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(learned) == 200 and sum(map(len, learned.values())) <= 40_000
+
+
 def test_language_of_awkward_rows(edge, nothing, texts, spark):
     learned = language_id.learn(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(edge, learned).collect()}
@@ -113,10 +133,53 @@ def test_toxicity_finds_labelled_words(spark):
 
 def test_thresholds_stay_in_order():
     grades = np.repeat([0, 1, 2], 20)
-    w, cuts = toxicity.fit_ordinal(np.arange(60), grades, np.ones(60), grades, 3)
+    w, cuts = toxicity.fit_ordinal(np.arange(60), grades, np.ones(60), grades, 3, 3)
     assert cuts[0] < cuts[1] and w[0] < w[1] < w[2]
 
 
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(8)
+    at, col = np.repeat(np.arange(30), 4), rng.integers(0, 6, 120)
+    args = (at, col, rng.random(120), rng.integers(0, 3, 30), 6, 0.01)
+    p = rng.normal(size=8)
+    _, g = toxicity.loss(p, *args)
+    step = 1e-6 * np.eye(8)
+    slow = [(toxicity.loss(p + d, *args)[0] - toxicity.loss(p - d, *args)[0]) / 2e-6 for d in step]
+    assert np.allclose(g, slow, atol=1e-6)
+
+
+def test_predictions_are_those_of_the_formula():
+    model = toxicity.Model({b"bad": 2.0, b"^badl": 0.5}, [1.0, 2.5])
+    for text, x in ((None, 0.0), ("", 0.0), ("Bad bad, good", 2 * np.log(3)), ("badly done", 0.5 * np.log(2))):
+        above = [1 / (1 + np.exp(c - x)) for c in (1.0, 2.5)]
+        p = [1 - above[0], above[0] - above[1], above[1]]
+        grade, severity, toxic = model.predict(text)
+        assert grade == int(np.argmax(p)) and np.isclose(severity, p[1] + 2 * p[2]) and np.isclose(toxic, above[0])
+
+
+def test_sample_takes_the_highest_grade_and_one_text(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "a2"), (2, "b"), (3, None), (4, "d"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (2, 3), (3, 1), (4, None), (None, 1), (9, 1)], "doc_id long, toxic int")
+    rows = toxicity.sample(docs, labels).collect()
+    assert sorted((r["grade"], r["text"] or "") for r in rows if r["text"] not in ("a", "a2")) == [(1, ""), (3, "b")] and sum(r["grade"] == 0 for r in rows) == 1
+    assert toxicity.sample(docs, labels, 2).count() <= 2
+
+
+def test_four_grades_are_told_apart_on_held_out_texts(spark):
+    """More marked words make a higher grade; one set of weights and three ordered thresholds predict it."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(1200):
+        g = int(rng.integers(0, 4))
+        rows.append((i, " ".join([*rng.choice([f"plain{k}" for k in range(200)], 30), *rng.choice([f"nasty{k}" for k in range(8)], (0, 2, 6, 16)[g])]), g))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, g) for i, _, g in rows if i % 4], "doc_id long, toxic int"))
+    assert len(model.thresholds) == 3 and sorted(model.thresholds) == model.thresholds
+    held = [r for r in toxicity.grade(docs, model).collect() if r["doc_id"] % 4 == 0]
+    assert np.mean([r["grade"] == rows[r["doc_id"]][2] for r in held]) >= 0.9
+    assert np.mean([abs(r["severity"] - rows[r["doc_id"]][2]) for r in held]) <= 0.3
+
+
 def test_toxicity_without_labels(edge, nothing, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(4, 1, 0), (4, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
