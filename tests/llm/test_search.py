@@ -14,7 +14,8 @@ from corpusloom.llm.license_scan import split
 
 def brute_nearest(rows, k=20, every=20):
     ids = np.array([i for i, _ in rows])
-    x = np.array([v for _, v in rows], dtype=np.float64)
+    width = max(len(v) for _, v in rows)
+    x = np.array([[*v, *[0.0] * (width - len(v))] for _, v in rows], dtype=np.float64)
     out = {}
     for i in np.flatnonzero(ids % every == 0):
         s = x @ x[i]
@@ -54,7 +55,8 @@ def test_copies_ties_and_norms(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(v) for v in rng.normal(size=8) * rng.uniform(0.1, 3)]) for i in range(400)]
     rows += [(1000 + i, rows[0][1]) for i in range(100)]
-    bad = [(2001, None), (2002, []), (2003, [0.0] * 8), (2004, [float("nan")] * 8), (2005, [None] + [1.0] * 7), (2006, [float("inf")] * 8), (2007, [1.0] * 9), (None, [1.0] * 8)]
+    rows += [(2007, [1.0] * 9), (2008, [3.0])]
+    bad = [(2001, None), (2002, []), (2003, [0.0] * 8), (2004, [float("nan")] * 8), (2005, [None] + [1.0] * 7), (2006, [float("inf")] * 8), (None, [1.0] * 8)]
     df = spark.createDataFrame(rows + bad + rows[:3], "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("block", F.lit("x"))
     found = ann.nearest(df, F.col("vec_id") % 20 == 0).collect()
     truth = brute_nearest(rows)
@@ -63,6 +65,18 @@ def test_copies_ties_and_norms(spark):
     assert mine == truth[1020] and not {r["vec_id"] for r in found} & {b[0] for b in bad}
 
 
+def test_the_exact_way_finds_all(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    x = np.random.default_rng(3).normal(size=(700, 6))
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.nearest(df, F.col("vec_id") % 20 == 0, whole=True).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == brute_nearest(rows)
+
+
 def test_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
