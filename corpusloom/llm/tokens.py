@@ -56,6 +56,11 @@ def encode(text: str | None, path: str) -> list[int]:
     return fast.encode_ordinary(text)
 
 
+def width(path: str) -> int:
+    """Bytes that hold an id of the file at path: 2 up to 65,536 of them, else 4."""
+    return 2 if _reference(path).get_vocab_size() <= 1 << 16 else 4
+
+
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     a = array("I", ids)

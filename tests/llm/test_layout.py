@@ -202,6 +202,23 @@ def test_training_order_round_trip(spark, sf, texts, tmp_path):
         assert [(r["slot"], r["doc_id"], bytes(r["ids"])) for r in got] == [(r["slot"], r["doc_id"], bytes(r["ids"])) for r in rows[a:b]]
 
 
+@pytest.mark.parametrize("width", [2, 4])
+def test_wide_ids_manifest_and_damage(spark, tmp_path, monkeypatch, width):
+    monkeypatch.setattr(tokens, "width", lambda _: width)
+    docs = spark.createDataFrame([(i, f"text {i} " * 400) for i in range(30)], "doc_id long, text string")
+    ordered = training_order.training_order(docs, per_shard=8)
+    path = str(tmp_path / "shards")
+    training_order.write_shards(ordered, path, block=3, width=width)
+    want = [(r["slot"], r["doc_id"], bytes(r["ids"])) for r in ordered.collect()]
+    assert [(r["slot"], r["doc_id"], bytes(r["ids"])) for r in training_order.read_slots(spark, path, 0, 10**6).collect()] == want
+    told = {r["shard"]: (r["first_slot"], r["records"]) for r in training_order.manifest(spark, path).collect()}
+    assert told == {s: (8 * s, min(8, len(want) - 8 * s)) for s in range(-(-len(want) // 8))}
+    blocks = spark.read.parquet(path)
+    assert all(len(b["payload"]) == b["n"] * training_order.record(width).itemsize for b in blocks.collect())
+    with pytest.raises(Exception, match="damaged"):
+        training_order.read_shards(blocks.withColumn("crc32", F.col("crc32") + 1)).collect()
+
+
 def test_training_order_awkward_rows(edge, nothing):
     assert training_order.training_order(edge).where("n_tokens = 1").count() == 2
     assert training_order.training_order(nothing).count() == 0
