@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids that may be broadcast: 2 million longs are 16 MB; beyond it joins shuffle.
-BROADCAST_ROWS = 2_000_000
+#: What may be broadcast, in bytes of its columns; beyond it joins shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 #: Rows of an Arrow batch at most. Texts may be long, and a worker holds a batch in several forms.
@@ -63,9 +63,9 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast only when the counted rows stay under BROADCAST_ROWS; otherwise leave a shuffled join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def maybe_broadcast(df: DataFrame, rows: int, width: int = 8) -> DataFrame:
+    """Hint a broadcast only when the counted rows, of `width` bytes each, stay under BROADCAST_BYTES; otherwise leave a shuffled join."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -199,11 +199,11 @@ def link_classes(classes: DataFrame, rows: DataFrame) -> DataFrame:
     """
     each = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = checkpoint(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = stored(each.join(maybe_broadcast(shared, shared.count()), "bucket"))
+    members = stored(each.join(maybe_broadcast(shared, shared.count(), 16), "bucket"))
     company = checkpoint(members.groupBy("rep").agg(F.sum("n").alias("company")))
     known = company.count()
     texts = stored(rows.select("row", "text").join(maybe_broadcast(company.select(F.col("rep").alias("row")), known), "row", "left_semi"))
-    hubs = members.join(maybe_broadcast(company, known), "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub"))
+    hubs = members.join(maybe_broadcast(company, known, 16), "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub"))
     with_hub = members.join(hubs, "bucket").where("rep <> hub").select("hub", "rep").distinct()
     done = stored(compare(checkpoint(with_hub), texts, with_rest=True))
     own = company.select("rep", F.col("rep").alias("component"))
@@ -250,7 +250,7 @@ def _judged(docs: DataFrame, whole: bool = False) -> DataFrame:
     at = stored(at.select("set_key", "least", F.coalesce("component", "rep").alias("component")))
     first = at.groupBy("component").agg(F.min("least").alias("least"))
     to = at.select("set_key", "component").join(first, "component").select("set_key", F.col("least.doc_id").alias("to_id"), F.col("least.row").alias("to_row"))
-    found = sig.join(to, "set_key", "left")
+    found = sig.join(maybe_broadcast(to, at.count(), 32), "set_key", "left")
     own = F.col("to_row").isNull()
     return found.withColumn("component_id", F.when(own, F.col("doc_id")).otherwise(F.col("to_id"))).withColumn("first", own | (F.col("row") == F.col("to_row")))
 
