@@ -12,12 +12,12 @@ from pyspark.sql.window import Window
 def next_answer(messages: DataFrame, key: str, ts: str, id_: str, is_answer: Column, carry: Mapping[str, Column], strict: bool = True) -> DataFrame:
     """Each row with `carry` of the earliest later answer under its key, as struct column `answer` (null if none).
 
-    One window over the key, no self join. Strict pairing takes only answers with a later time; else equal times count too.
-    Ties go to the smaller id.
+    One window over the key, no self join: latest rows come first, so the frame only grows and a key costs what its rows do.
+    Strict pairing takes only answers with a later time; else equal times count too. Ties go to the smaller id.
     """
     packed = F.when(is_answer, F.struct(F.col(ts).alias("ts"), F.col(id_).alias("id"), *[c.alias(n) for n, c in carry.items()]))
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp")))
-    frame = w.rangeBetween(1 if strict else 0, Window.unboundedFollowing)
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp")).desc())
+    frame = w.rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
     return messages.withColumn("answer", F.min(packed).over(frame))
 
 
@@ -59,7 +59,8 @@ def daily_counts(messages: DataFrame, ts: str, where: Column) -> DataFrame:
 def share_by(df: DataFrame, c: Column, name: str) -> DataFrame:
     """Rows per value and their share of all; nulls are left out."""
     n = df.where(c.isNotNull()).groupBy(c.alias(name)).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = n.agg(F.sum("n").alias("__total"))  # one row
+    return n.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("__total")).drop("__total")
 
 
 def half_up(c: Column) -> Column:
@@ -149,6 +150,11 @@ def age_label(seconds: Column) -> Column:
     )
 
 
+def usd_label(c: Column) -> Column:
+    """Dollars with two digits; amounts under a cent, but not 0, with six."""
+    return F.when(c.isNull(), None).when((c > 0) & (c < 0.01), F.concat(F.lit("$"), F.format_string("%.6f", c.cast("double")))).otherwise(F.concat(F.lit("$"), F.format_string("%.2f", c.cast("double"))))
+
+
 def time_group(ts: Column, as_of: Column) -> Column:
     days = F.datediff(as_of, ts)
     return F.when(days <= 0, "today").when(days == 1, "yesterday").when(days <= 7, "previous7").otherwise("older")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,45 +12,74 @@ from corpusloom.functions.text import coverage_score, tokenize, tokenize_fts
 
 #: BM25's parameters, fusion's constant, thresholds of gate and context.
 K1, B, RRF_K, GATE, CONTEXT = 1.5, 0.75, 60, 0.50, 0.20
+#: Rows of asked terms that are broadcast; more are joined by shuffles.
+ASKED_ROWS = 500_000
+
+Tokenizer = Callable[[Column], Column]
+Scorer = Callable[[Column, Column], Column]
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf)."""
-    return docs.select("doc_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(docs: DataFrame, tokenizer: Tokenizer = tokenize) -> DataFrame:
+    """(doc_id, term, tf). tokenizer: an array of tokens from a text."""
+    return docs.select("doc_id", F.explode(tokenizer(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_index(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, df, idf, len, avgdl): the index as one table; hot terms spread, as rows are keyed by document too."""
-    tf = postings(docs)
+def bm25_index(docs: DataFrame, tokenizer: Tokenizer = tokenize) -> DataFrame:
+    """(doc_id, term, tf, df, idf, len, avgdl): the index as one table, to be written once and asked often."""
+    tf = postings(docs, tokenizer)
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     length = tf.groupBy("doc_id").agg(F.sum("tf").alias("len"))
     mean = length.agg(F.sum("len").alias("total"))
     scalars = n.crossJoin(mean).select("n", (F.col("total") / F.col("n")).alias("avgdl"))  # one row
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return tf.join(length, "doc_id").join(df, "term").crossJoin(F.broadcast(scalars)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).drop("n")
+    return tf.join(length, "doc_id").join(df, "term").crossJoin(F.broadcast(scalars)).withColumn("idf", _idf()).drop("n")
+
+
+def _idf() -> Column:
+    return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A broadcast hint if the frame has no more than ASKED_ROWS rows, which are counted."""
+    return F.broadcast(df) if df.limit(ASKED_ROWS + 1).count() <= ASKED_ROWS else df
+
+
+def _hits(docs: DataFrame, terms: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """(doc_id, term, tf, len) of the asked terms only: other tokens go where they are read, and no row is dealt by its term."""
+    each = docs.select("doc_id", tokenizer(F.col("text")).alias("tokens")).select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    return each.join(_small(terms), "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
 
 
 def _top(scored: DataFrame, order: list[Column], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 15) -> DataFrame:
-    """(query_id, doc_id, score, rank) for queries (query_id, text); a token that stands twice counts twice.
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 15, index: DataFrame | None = None, tokenizer: Tokenizer = tokenize) -> DataFrame:
+    """(query_id, doc_id, score, rank) for queries (query_id, text); a token that stands twice counts twice. doc_id is a key.
 
-    Only terms of some query are taken from the postings, before lengths and frequencies are joined on. Scores are
-    rounded to 9 places before ranking; ties go to the smaller id.
+    The asked terms go to the texts: only their postings are counted and shuffled, by document and term, so hot terms spread.
+    With a stored bm25_index() the texts aren't read at all. Scores are rounded to 9 places before ranking; ties go to
+    the smaller id.
     """
-    asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    index = bm25_index(docs).join(asked.select("term").distinct(), "term", "left_semi")
+    asked = queries.select("query_id", F.explode(tokenizer(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    terms = asked.select("term").distinct()
+    if index is None:
+        hits = _hits(docs, terms, tokenizer)
+        size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(tokenizer(F.col("text")))).alias("total")).select("n", (F.col("total") / F.col("n")).alias("avgdl"))  # one row
+        df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size)).select("term", _idf().alias("idf"), "avgdl")
+        found = hits.join(_small(asked.join(df, "term")), "term")
+    else:
+        found = index.join(_small(asked), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    scored = asked.join(index, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
+    scored = found.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
     return _top(scored, [F.desc("score"), F.asc("doc_id")], k)
 
 
 def fts_topk(queries: DataFrame, docs: DataFrame, k: int = 15) -> DataFrame:
     """(query_id, doc_id, matched, tf, rank): any content token matches; more distinct tokens first, then more of them."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize_fts(F.col("text")))).alias("term"))
-    hits = asked.join(postings(docs), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("tf").alias("tf"))
+    found = _hits(docs, asked.select("term").distinct(), tokenize).join(_small(asked), "term")
+    hits = found.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("tf").alias("tf"))
     return _top(hits, [F.desc("matched"), F.desc("tf"), F.asc("doc_id")], k)
 
 
@@ -67,11 +98,15 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def rerank_topk(fused: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """fused with `cross`, the score of a (query, text) pair, and its k best per query. The default scorer is lexical."""
+def lexical_score(text: Column, query: Column) -> Column:
+    """The default pair scorer: a sigmoid of how much of the query the text covers."""
+    return sigmoid(8 * coverage_score(text, query) - 4)
+
+
+def rerank_topk(fused: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 5, scorer: Scorer = lexical_score) -> DataFrame:
+    """fused with `cross`, the scorer's value of a (text, query) pair, and its k best per query. A Pandas UDF may be the scorer."""
     pairs = fused.join(queries.select("query_id", F.col("text").alias("q")), "query_id").join(docs.select("doc_id", "text"), "doc_id")
-    cross = F.round(sigmoid(8 * coverage_score(F.col("text"), F.col("q")) - 4), 9)
-    scored = pairs.select("query_id", "doc_id", F.col("rank").alias("fused_rank"), "rrf", cross.alias("cross"))
+    scored = pairs.select("query_id", "doc_id", F.col("rank").alias("fused_rank"), "rrf", F.round(scorer(F.col("text"), F.col("q")), 9).alias("cross"))
     return _top(scored, [F.desc("cross"), F.asc("fused_rank")], k)
 
 

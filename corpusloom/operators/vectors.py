@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions.text import tokenize
 
-#: Queries of one block of an exact search: what a task holds besides its rows.
-QUERY_BLOCK = 2048
+#: Queries, and corpus rows, of one block of an exact search: what a task holds.
+QUERY_BLOCK, CORPUS_BLOCK = 2048, 16_384
 
 
 def norm(v: Column) -> Column:
@@ -39,8 +39,14 @@ def valid(v: Column, dim: int) -> Column:
     return F.coalesce((F.size(v) == dim) & F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
-def embed_text(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """(key, vec): token counts hashed to `dim` places, normalised; texts without tokens have no row."""
+def embed_text(df: DataFrame, key: str, text: str, dim: int = 64, encoder: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(key, vec): token counts hashed to `dim` places, normalised; texts without tokens have no row.
+
+    An encoder, an array of numbers from a text (a Pandas UDF around a model, say), takes the place of the hashes; null
+    vectors have no row.
+    """
+    if encoder is not None:
+        return df.select(key, l2_normalize(encoder(F.col(text))).alias("vec")).where("vec is not null")
     tokens = df.select(key, F.explode(tokenize(F.col(text))).alias("t"))
     place = (F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long") % dim).cast("int")
     counts = tokens.groupBy(key, place.alias("d")).agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -81,34 +87,46 @@ def _ranked(local: DataFrame, k: int) -> DataFrame:
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 15, least: float = 0.2, other_only: bool = False) -> DataFrame:
     """(query_id, id, sim, rank): exact cosine top-k of at least `least`. queries: query_id, vec; corpus: id, vec; unit vectors.
 
-    Queries go to the tasks in blocks of QUERY_BLOCK; each task multiplies a block with its rows and passes on its k
-    best, and a window merges those. sim is rounded to 9 places, ties go to the smaller id.
+    Up to QUERY_BLOCK queries are broadcast, and each task multiplies them with its rows. More are dealt into blocks as rows of
+    their own: each meets each block of the corpus in one group of bounded size, and nothing passes the driver. Every
+    block passes on its k best, and a window merges those. sim is rounded to 9 places, ties go to the smaller id.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    spark = queries.sparkSession
-    parts = []
-    for b in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "vec").toArrow()
-        if not mine.num_rows:
-            continue
+    n, spark = queries.count(), queries.sparkSession
+    schema = "query_id long, id long, sim double"
+    asked, rows = queries.select(F.col("query_id").cast("long"), "vec"), corpus.select(F.col("id").cast("long"), "vec")
+
+    def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vecs: np.ndarray) -> list[pa.Array]:
+        sims = q @ vecs.T
+        if other_only:
+            sims[q_ids[:, None] == ids] = -np.inf
+        row, at, s = _local_top(ids, sims, k, least)
+        return [pa.array(q_ids[row], pa.int64()), pa.array(at, pa.int64()), pa.array(s, pa.float64())]
+
+    if n == 0:
+        return spark.createDataFrame([], schema + ", rank int")
+    if n <= QUERY_BLOCK:
+        mine = asked.toArrow()
         shared = spark.sparkContext.broadcast((mine["query_id"].to_numpy(), _matrix(mine["vec"].combine_chunks(), mine.num_rows)))
 
-        def run(batches, shared=shared):
-            asked, q = shared.value
+        def run(batches):
             for batch in batches:
                 if batch.num_rows:
-                    ids = batch.column(0).to_numpy()
-                    sims = q @ _matrix(batch.column(1), batch.num_rows).T
-                    if other_only:
-                        sims[asked[:, None] == ids] = -np.inf
-                    row, best, s = _local_top(ids, sims, k, least)
-                    yield pa.RecordBatch.from_arrays([pa.array(asked[row], pa.int64()), pa.array(best, pa.int64()), pa.array(s, pa.float64())], ["query_id", "id", "sim"])
-
-        parts.append(corpus.select(F.col("id").cast("long"), "vec").mapInArrow(run, "query_id long, id long, sim double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, id long, sim double, rank int")
-    return _ranked(reduce(DataFrame.unionByName, parts), k)
+                    yield pa.RecordBatch.from_arrays(best(*shared.value, batch.column(0).to_numpy(), _matrix(batch.column(1), batch.num_rows)), ["query_id", "id", "sim"])
+
+        return _ranked(rows.mapInArrow(run, schema), k)
+    blocks, parts = -(-n // QUERY_BLOCK), max(1, -(-corpus.count() // CORPUS_BLOCK))
+    to = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    dealt = lambda key, many: F.pmod(F.xxhash64(key), F.lit(many)).cast("int")
+    asked = asked.withColumn("block", dealt("query_id", blocks)).withColumn("part", to(parts))
+    rows = rows.select("id", F.col("vec").alias("value"), dealt("id", parts).alias("its_part")).withColumn("its_block", to(blocks))
+
+    def meet(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not (q.num_rows and c.num_rows):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], ["query_id", "id", "sim"])
+        held = [_matrix(t[name].combine_chunks(), t.num_rows) for t, name in ((q, "vec"), (c, "value"))]
+        return pa.table(best(q["query_id"].to_numpy(), held[0], c["id"].to_numpy(), held[1]), ["query_id", "id", "sim"])
+
+    return _ranked(asked.groupBy("block", "part").cogroup(rows.groupBy("its_block", "its_part")).applyInArrow(meet, schema), k)
 
 
 def ann_topk(queries: DataFrame, corpus: DataFrame, k: int = 15, cell_rows: int = 64, probe: float = 0.75, sample: int = 20_000) -> DataFrame:

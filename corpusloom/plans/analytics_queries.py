@@ -70,7 +70,7 @@ R.on("conversation_list", "conversations", lambda d: d.groupBy("conv_id").agg(F.
      "SELECT conv_id, count(*) AS n, max(turn) AS last_turn, substr(arg_max(text, turn), 1, 90) AS preview FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, conv_id DESC LIMIT 21")
 R.add("owned_only", lambda s, d: load(s, d, "orders").join(load(s, d, "customer").where("c_nationkey = 7"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_custkey"),
       "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)")
-R.add("lookup_join", lambda s, d: load(s, d, "customer").join(F.broadcast(load(s, d, "nation").limit(1000)), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n")),
+R.add("lookup_join", lambda s, d: load(s, d, "customer").join(load(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n")),
       "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 _RECENT = f"ts >= {AS_OF}::TIMESTAMP - INTERVAL {{n}} DAY".replace("timestamp ", "")
 R.on("message_stats", "events", lambda d: A.message_stats(d.where(A.within(F.col("ts"), AS_OF, 14)), answer(), F.col("value") < 10, F.when(answer(), F.col("value"))).select("answers", "cached", F.round("avg_latency", 6).alias("avg_latency")),
