@@ -151,8 +151,15 @@ def age_label(seconds: Column) -> Column:
 
 
 def usd_label(c: Column) -> Column:
-    """Dollars with two digits; amounts under a cent, but not 0, with six."""
-    return F.when(c.isNull(), None).when((c > 0) & (c < 0.01), F.concat(F.lit("$"), F.format_string("%.6f", c.cast("double")))).otherwise(F.concat(F.lit("$"), F.format_string("%.2f", c.cast("double"))))
+    """Dollars with 2 digits from 1 on, 3 from a cent on, 4 to 9 below, so that some stay; $0.00 for nothing, less or no number."""
+    usd = c.cast("double")
+    fixed = lambda n: F.format_string(f"$%.{n}f", usd)
+    digits = F.least(F.lit(9), F.greatest(F.lit(4), 2 + F.ceil(-F.log10(usd)).cast("int")))
+    small = fixed(9)
+    for n in range(8, 3, -1):
+        small = F.when(digits == n, fixed(n)).otherwise(small)
+    bad = usd.isNull() | F.isnan(usd) | (usd <= 0) | (usd == float("inf"))
+    return F.when(bad, "$0.00").when(usd >= 1, fixed(2)).when(usd >= 0.01, fixed(3)).otherwise(small)
 
 
 def time_group(ts: Column, as_of: Column) -> Column:

@@ -70,3 +70,31 @@ def clear(cache: DataFrame) -> DataFrame:
 
 def cacheable(answers: DataFrame) -> DataFrame:
     return answers.where("grounded AND NOT bypassed")
+
+
+def _kind(v: Column) -> Column:
+    """The kind of a variant: OBJECT, ARRAY, STRING and so on; null for none."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def parse_payload(raw: Column) -> tuple[Column, Column]:
+    """(answer, sources) of a cached JSON payload: an answer that isn't a string is empty, and only objects and arrays are sources, as JSON."""
+    v = F.try_parse_json(raw)
+    answer = F.try_variant_get(v, "$.answer", "variant")
+    listed = F.coalesce(F.try_variant_get(v, "$.sources", "array<variant>"), F.array().cast("array<variant>"))
+    kept = F.filter(listed, lambda x: F.coalesce(_kind(x).isin("OBJECT", "ARRAY"), F.lit(False)))
+    return F.when(_kind(answer) == "STRING", F.try_variant_get(v, "$.answer", "string")).otherwise(""), F.transform(kept, lambda x: F.to_json(x))
+
+
+_SOURCE = "array<struct<name:string,url:string,score:double,documentId:string>>"
+
+
+def parse_sources(raw: Column) -> Column:
+    """Sources (name, url, score, documentId) of a JSON list; none at all if one entry lacks a part or has one of another kind."""
+    v = F.try_parse_json(raw)
+    listed = F.try_variant_get(v, "$", "array<variant>")
+    kind = lambda x, name: _kind(F.try_variant_get(x, f"$.{name}", "variant"))
+    number = lambda x: kind(x, "score").isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT")
+    fits = lambda x: (kind(x, "name") == "STRING") & (kind(x, "url") == "STRING") & number(x) & F.coalesce(kind(x, "documentId") == "STRING", F.lit(True))
+    good = F.forall(listed, lambda x: F.coalesce(fits(x), F.lit(False)))
+    return F.coalesce(F.when(F.coalesce(good, F.lit(False)), F.from_json(raw, _SOURCE)), F.array().cast(_SOURCE))

@@ -70,3 +70,8 @@ def question_answer(raw: Column) -> tuple[Column, Column]:
     question = F.nullif(strip(F.regexp_extract(raw, r"(?s)QUESTION:\s*(.*?)\s*(?:ANSWER:|\z)", 1)), F.lit(""))
     answer = F.nullif(strip(F.regexp_extract(raw, r"(?s)ANSWER:\s*(.*)\z", 1)), F.lit(""))
     return question, answer
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """One JSON record a question: id, engine, what was retrieved, and measures."""
+    results.write.mode("overwrite").json(path)

@@ -52,6 +52,13 @@ def mutate(rows: DataFrame, keys: DataFrame, key: str, owner: Column, changes: M
     return marked.drop("__hit")
 
 
+def backfill_parent(rows: DataFrame, parents: DataFrame, key: str, legacy: str) -> tuple[DataFrame, DataFrame]:
+    """Rows without a parent get the legacy one, which is added to the parents if any row needs it and it isn't there."""
+    filled = rows.withColumn(key, F.coalesce(key, F.lit(legacy)))
+    added = rows.where(F.col(key).isNull()).limit(1).select(F.lit(legacy).alias(key))
+    return filled, parents.unionByName(added.join(parents.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
 def latest(log: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
     """The last value per key; keys whose last value is null are removed."""
     return log.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value)).where(F.col(value).isNotNull())

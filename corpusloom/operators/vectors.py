@@ -39,6 +39,18 @@ def valid(v: Column, dim: int) -> Column:
     return F.coalesce((F.size(v) == dim) & F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
+def stale(vectors: DataFrame, model: str, dim: int) -> DataFrame:
+    """Rows to embed anew: of another model, or not of `dim` finite numbers. vectors: model, vec."""
+    return vectors.where(~(F.col("model").eqNullSafe(F.lit(model)) & valid(F.col("vec"), dim)))
+
+
+def similarity_order(probes: DataFrame, key: str, order: str, anchor: str, other: str) -> DataFrame:
+    """(key, ordered): whether a key's similarities with its anchor fall, or stay, from each probe to the next in order."""
+    sims = probes.select(key, order, cosine(F.col(anchor), F.col(other)).alias("__sim"))
+    before = F.lag("__sim").over(Window.partitionBy(key).orderBy(order))
+    return sims.withColumn("__falls", F.coalesce(F.col("__sim") <= before + 1e-9, F.lit(True))).groupBy(key).agg(F.bool_and("__falls").alias("ordered"))
+
+
 def embed_text(df: DataFrame, key: str, text: str, dim: int = 64, encoder: Callable[[Column], Column] | None = None) -> DataFrame:
     """(key, vec): token counts hashed to `dim` places, normalised; texts without tokens have no row.
 

@@ -178,7 +178,8 @@ def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 R.add("stream_daily_counts", lambda s, d: jobs.drain(jobs.daily_counts(_stream(s, d, "events"), F.col("event_type") == "view"), "complete"), "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1")
-R.add("stream_memory", lambda s, d: jobs.drain(jobs.last_messages(_stream(s, d, "conversations")), "update").select("conv_id", "turns"))
-R.add("stream_cache", lambda s, d: jobs.drain(jobs.first_answers(_stream(s, d, "events").select(F.col("props").alias("query_hash"), "ts"))).groupBy("query_hash").agg(F.count(F.lit(1)).alias("n")))
+R.add("stream_memory", lambda s, d: jobs.drain(jobs.last_messages(_stream(s, d, "conversations")), "update").select("conv_id", "turns"),
+      "SELECT conv_id, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS i FROM (SELECT DISTINCT conv_id, turn FROM conversations)) WHERE i <= 8 GROUP BY conv_id")
+R.add("stream_cache", lambda s, d: jobs.drain(jobs.first_answers(_stream(s, d, "events").select(F.col("props").alias("query_hash"), "ts"))).groupBy("query_hash").agg(F.count(F.lit(1)).alias("n")), "SELECT DISTINCT props AS query_hash, 1::BIGINT AS n FROM events")
 R.add("pairing_stream", lambda s, d: jobs.drain(jobs.pairs(_stream(s, d, "events").where("event_type = 'view'").select("event_id", "user_id", "ts"), _stream(s, d, "events").where("event_type = 'purchase'").select("event_id", "user_id", "ts"))).where("answer_id IS NOT NULL").groupBy("event_id").agg(F.min_by("answer_id", "answer_ts").alias("answer_id")),
       "SELECT q.event_id, arg_min(a.event_id, a.ts) AS answer_id FROM events q JOIN events a ON q.user_id = a.user_id AND a.ts > q.ts AND a.ts <= q.ts + INTERVAL 12 HOUR WHERE q.event_type = 'view' AND a.event_type = 'purchase' GROUP BY 1")

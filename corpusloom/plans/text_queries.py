@@ -76,10 +76,10 @@ R.on(
 )
 
 
-def _pii_sql(source: str) -> str:
+def _pii_sql(source: str, classes=T.PII) -> str:
     """The oracle's patterns: edges as captured context where RE2 knows no lookbehind; applied twice, as context is consumed."""
     c = source
-    for name, pattern, mark in T.PII:
+    for name, pattern, mark in classes:
         body = pattern.replace(T._B, r"(^|[^0-9A-Za-z_])").replace(T._E, "").replace(r"(?<![A-Z0-9])", "(^|[^A-Z0-9])")
         body = body.replace("'", "''")
         if name == "dob":
@@ -96,7 +96,20 @@ for _name, _table, _id in (("mask_pii", "documents", "doc_id"), ("mask_pii_messa
         lambda d, ids=_id.split(", "): d.select(*ids, T.mask_pii(F.col("text")).alias("text"), (T.mask_pii(F.col("text")) != F.col("text")).alias("found")),
         f"SELECT {_id}, m AS text, m <> text AS found FROM (SELECT {_id}, text, {_pii_sql('text')} AS m FROM {_table})",
     )
-R.on("pii_counts", "documents", lambda d: d.select("doc_id", *[c.alias(n) for n, c in T.pii_counts(F.col("text")).items()]))
+
+
+def _pii_counts_sql() -> str:
+    """Marks that a class adds to the text in which the classes before are masked."""
+    steps = ["text AS c0"]
+    counts = []
+    for i, (name, _, mark) in enumerate(T.PII):
+        steps.append(f"{_pii_sql(f'c{i}', [T.PII[i]])} AS c{i + 1}")
+        marks = lambda k, mark=mark: f"(length(c{k}) - length(replace(c{k}, '{mark}', ''))) // {len(mark)}"
+        counts.append(f"{marks(i + 1)} - {marks(i)} AS {name}")
+    return f"SELECT doc_id, {', '.join(counts)} FROM (SELECT doc_id, {', '.join(steps)} FROM documents)"
+
+
+R.on("pii_counts", "documents", lambda d: d.select("doc_id", *[c.alias(n) for n, c in T.pii_counts(F.col("text")).items()]), _pii_counts_sql())
 R.on(
     "content_hash", "documents",
     lambda d: d.select("doc_id", F.sha2("text", 256).alias("hash"), T.source_key(F.concat_ws(" ", "source", "lang"), F.sha2("text", 256)).alias("source_key")),
