@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import non_empty, strip
+from corpusloom.sources.files import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +37,8 @@ class Registry:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in ("documents", "pages"):  # work on texts outweighs the scan
+        df = spread(df)
     if name == "events":
         df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     return df

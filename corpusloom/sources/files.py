@@ -101,3 +101,9 @@ def reconcile(source: Mapping[str, DataFrame], target: Mapping[str, DataFrame])
     both = counts(source, "source_rows").join(counts(target, "target_rows"), "table_name", "full_outer")
     same = F.col("source_rows").eqNullSafe(F.col("target_rows"))
     return both.select("table_name", "source_rows", "target_rows", F.when(same, "OK").otherwise("MISMATCH").alias("state"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew where its scan has fewer partitions than there are cores, as with one small file; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
