@@ -33,19 +33,19 @@ NEGATIVE_TERMS = ("japan", "stock trading", "algorithmic", "crypto", "recipe", "
 COMPARE_TERMS, COST_TERMS = ("vs", "compare", "difference"), ("cost", "budget", "expense", "fee")
 
 _B, _E = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
-#: PII classes in order, with ASCII word edges.
+#: PII classes in order. Word edges are spelt out for ASCII, as engines differ on them.
 PII = (
     ("iban", _B + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}" + _E, "[IBAN_REDACTED]"),
     ("iban_spaced", _B + r"[A-Z]{2}[0-9]{2}(?:\s[A-Z0-9]{4})+(?:\s[A-Z0-9]{2})?" + _E, "[IBAN_REDACTED]"),
-    ("passport", _B + r"[A-PR-WY][1-9][0-9]\s?[0-9]{4}[1-9]" + _E, "[PASSPORT_REDACTED]"),
+    ("passport", _B + r"[A-PR-WY][1-9]\d\s?\d{4}[1-9]" + _E, "[PASSPORT_REDACTED]"),
     ("national_id", _B + r"[A-Z0-9]{2}[0-9]{7}" + _E, "[PASSPORT_REDACTED]"),
     (
         "dob",
-        _B + r"(?:0?[1-9]|[12][0-9]|3[01])[/\-.](?:0?[1-9]|1[0-2])[/\-.](?:19[2-9][0-9]|200[0-9]|201[0-9])" + _E
-        + "|" + _B + r"(?:19[2-9][0-9]|200[0-9]|201[0-9])[/\-.](?:0?[1-9]|1[0-2])[/\-.](?:0?[1-9]|[12][0-9]|3[01])" + _E,
+        _B + r"(?:0?[1-9]|[12]\d|3[01])[/\-.](?:0?[1-9]|1[0-2])[/\-.](?:19[2-9]\d|200\d|201\d)" + _E
+        + "|" + _B + r"(?:19[2-9]\d|200\d|201\d)[/\-.](?:0?[1-9]|1[0-2])[/\-.](?:0?[1-9]|[12]\d|3[01])" + _E,
         "[DOB_REDACTED]",
     ),
-    ("phone", r"(?<![A-Z0-9])(?:\+|00)[1-9][0-9]{0,2}[\s\-.(]?[0-9]{2,4}[\s\-.]?[0-9]{3,4}[\s\-.]?[0-9]{3,4}" + _E, "[PHONE_REDACTED]"),
+    ("phone", r"(?<![A-Z0-9])(?:\+|00)[1-9]\d{0,2}[\s\-.(]?\d{2,4}[\s\-.]?\d{3,4}[\s\-.]?\d{3,4}" + _E, "[PHONE_REDACTED]"),
     ("email", _B + r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}" + _E, "[EMAIL_REDACTED]"),
 )
 
