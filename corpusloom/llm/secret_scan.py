@@ -10,6 +10,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from .common import maybe_broadcast, per_batch, stored, table
 
@@ -88,41 +89,43 @@ def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         # a weak part needs company: alone in its text it is never reported
         weaks.append([dict(zip(("start", "kind", "end"), s, strict=True)) for s in weak] if len(base) + len(weak) > 1 else [])
         bases.append([dict(zip(("start", "kind", "end"), s, strict=True)) for s in base])
-    out = batch.drop_columns(["text"]) if "__keep" not in batch.schema.names else batch.drop_columns(["__keep"])
-    return out.append_column("__base", pa.array(bases, pa.list_(_SPAN))).append_column("__weak", pa.array(weaks, pa.list_(_SPAN)))
+    return batch.append_column("base", pa.array(bases, pa.list_(_SPAN))).append_column("weak", pa.array(weaks, pa.list_(_SPAN)))
 
 
 def scan(df: DataFrame, keep_text: bool) -> DataFrame:
-    """df's columns (without text, if not kept) and __row, __base, __weak, written once so that __row stays the same."""
-    df = df.withColumn("__row", F.monotonically_increasing_id())
-    if keep_text:
-        df = df.withColumn("__keep", F.lit(True))
-    names = [f"`{n}` {t}" for n, t in df.dtypes if n != "__keep" and (keep_text or n != "text")]
-    return stored(df.mapInArrow(per_batch(_scan), ", ".join([*names, f"__base {_SPANS}", f"__weak {_SPANS}"])))
+    """row (a unique number), rest (a struct of df's columns but text, so that no names clash), text if kept, base, weak.
+
+    Written once, so that row stays the same for all who read it.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "text"])
+    rows = df.select(F.monotonically_increasing_id().alias("row"), rest.alias("rest"), F.col("text").cast("string").alias("text"))
+    new = DataType.fromDDL(f"base {_SPANS}, weak {_SPANS}")
+    found = rows.mapInArrow(per_batch(_scan), StructType([*rows.schema.fields, *new.fields]))
+    return stored(found if keep_text else found.drop("text"))
 
 
 def link(scanned: DataFrame) -> DataFrame:
-    """(__row, __added): the weak parts with enough company.
+    """(row, added): the weak parts with enough company.
 
     An interval join on (row, cell of SCOPE code points) finds the parts within SCOPE of each weak one; a cell holds few
     parts, so their number per weak part is bounded. A weak identifier or secret needs a base match of the opposite
     role, or a weak one and an endpoint; an endpoint needs both roles.
     """
     cell = F.floor(F.col("s.start") / SCOPE)
-    weak = scanned.where(F.size("__weak") > 0).select("__row", F.explode("__weak").alias("s")).withColumn("cell", cell)
-    parts = scanned.where(F.size("__weak") > 0).select("__row", F.explode(F.concat("__base", "__weak")).alias("p"))
-    spread = parts.select("__row", "p", F.explode(F.sequence(F.floor((F.col("p.start") - SCOPE) / SCOPE) - 1, F.floor((F.col("p.end") + SCOPE) / SCOPE))).alias("cell"))
-    near = weak.join(spread, ["__row", "cell"]).where((F.col("p.start") <= F.col("s.end") + SCOPE) & (F.col("s.start") <= F.col("p.end") + SCOPE))
+    weak = scanned.where(F.size("weak") > 0).select("row", F.explode("weak").alias("s")).withColumn("cell", cell)
+    parts = scanned.where(F.size("weak") > 0).select("row", F.explode(F.concat("base", "weak")).alias("p"))
+    spread = parts.select("row", "p", F.explode(F.sequence(F.floor((F.col("p.start") - SCOPE) / SCOPE) - 1, F.floor((F.col("p.end") + SCOPE) / SCOPE))).alias("cell"))
+    near = weak.join(spread, ["row", "cell"]).where((F.col("p.start") <= F.col("s.end") + SCOPE) & (F.col("s.start") <= F.col("p.end") + SCOPE))
     k = F.col("p.kind")
     some = lambda *kinds: F.bool_or(k.isin(*kinds))
-    company = near.groupBy("__row", "s").agg(some(1).alias("a"), some(3).alias("a_weak"), some(0, 2).alias("b"), some(4).alias("b_weak"), some(5).alias("e"))
+    company = near.groupBy("row", "s").agg(some(1).alias("a"), some(3).alias("a_weak"), some(0, 2).alias("b"), some(4).alias("b_weak"), some(5).alias("e"))
     kind = F.col("s.kind")
     enough = (
         F.when(kind == 3, F.col("b") | (F.col("b_weak") & F.col("e")))
         .when(kind == 4, F.col("a") | (F.col("a_weak") & F.col("e")))
         .otherwise((F.col("a") | F.col("a_weak")) & (F.col("b") | F.col("b_weak")))
     )
-    return company.where(enough).groupBy("__row").agg(F.collect_list("s").alias("__added"))
+    return company.where(enough).groupBy("row").agg(F.collect_list("s").alias("added"))
 
 
 def _listed(spans: Column) -> Column:
@@ -131,20 +134,24 @@ def _listed(spans: Column) -> Column:
 
 
 def find_secrets(df: DataFrame, keep_text: bool = False) -> DataFrame:
-    """df's columns with __base and __spans (base and linked spans as arrays of (start, kind, end), code points).
+    """Per row of df: rest (a struct of its columns but text), text if kept, base and spans (arrays of (start, kind, end), code points).
 
-    A null text is empty; repeated rows each get their own result; df's other columns pass through.
+    spans holds the base spans and the linked ones. Null and empty texts have none; texts are read whole, whatever their length;
+    repeated rows each get their own result; an empty table gives no rows; df's other columns may have any names.
     """
     scanned = scan(df, keep_text)
     added = stored(link(scanned))
-    joined = scanned.join(maybe_broadcast(added, added.count()), "__row", "left")
-    return joined.withColumn("__spans", F.array_sort(F.concat("__base", F.coalesce("__added", F.array().cast(_SPANS))))).drop("__added", "__weak", "__row")
+    spans = added.agg(F.sum(F.size("added"))).first()[0] or 0
+    joined = scanned.join(maybe_broadcast(added, spans, 40), "row", "left")
+    return joined.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPANS))))).drop("added", "weak", "row")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of all documents; find_secrets() says what nulls, empty and long texts and repeated rows give."""
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    n = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_listed(F.col("__base")), 256).alias("base_sha256"), _listed(F.col("__spans")).alias("spans"))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    doc_id = F.col("rest")["doc_id"].alias("doc_id")
+    return found.select(doc_id, n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
 def redact_text(text: str, spans: list[tuple[int, int]], mask: str = "[SECRET]") -> str:
@@ -158,19 +165,23 @@ def redact_text(text: str, spans: list[tuple[int, int]], mask: str = "[SECRET]")
 
 
 def _redact(batch: pa.RecordBatch) -> pa.RecordBatch:
-    spans = [[(s["start"], s["end"]) for s in x] for x in batch.column("__spans").to_pylist()]
-    texts = [redact_text(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
-    return batch.drop_columns(["__spans"]).set_column(batch.schema.names.index("text"), "text", pa.array(texts, pa.string()))
+    spans = [[(s["start"], s["end"]) for s in x] for x in batch.column("spans").to_pylist()]
+    texts = [redact_text(t, s) for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
+    return batch.drop_columns(["spans"]).set_column(batch.schema.names.index("text"), "text", pa.array(texts, pa.string()))
 
 
 def redact(df: DataFrame) -> DataFrame:
-    """df with secrets masked in text; n_chars, if there, follows the new text."""
-    found = find_secrets(df, keep_text=True).drop("__base")
-    clean = found.where(F.size("__spans") == 0).drop("__spans")
-    masked = found.where(F.size("__spans") > 0).mapInArrow(per_batch(_redact), df.schema)
-    if "n_chars" in df.columns:
-        masked = masked.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
-    return clean.select(df.columns).unionByName(masked.select(df.columns))
+    """df with secrets masked in text; n_chars, if there, follows the new text. find_secrets() says what awkward rows give."""
+    found = find_secrets(df, keep_text=True).select("rest", "text", "spans")
+    clean = found.where(F.size("spans") == 0).drop("spans")
+    masked = found.where(F.size("spans") > 0).mapInArrow(per_batch(_redact), clean.schema)
+
+    def column(c: str, new: bool) -> Column:
+        if c == "text" or (c == "n_chars" and new):
+            return (F.col("text") if c == "text" else F.length("text")).cast(df.schema[c].dataType).alias(c)
+        return F.col("rest")[c].alias(c)
+
+    return clean.select([column(c, False) for c in df.columns]).unionByName(masked.select([column(c, True) for c in df.columns]))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
