@@ -38,8 +38,8 @@ NOTICES = (
 
 #: Anchors of a notice: its words of highest IDF. Two must agree on the shift, or one where a notice has no more.
 ANCHORS = 4
-#: Share of a notice's words that must stand in their aligned places.
-COVER = 0.6
+#: Share of a notice's words that must stand in their aligned places, or up to SLACK words beside them, as words may be put in or left out.
+COVER, SLACK = 0.6, 2
 
 _TO_SPACE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -98,8 +98,8 @@ def match(ws: list[bytes], at: list[int], index: dict[bytes, list[tuple[int, int
         label, notice, key = _NOTICES[i]
         if len(agreed) < min(2, len(set(notice))):
             continue
-        cover = sum(0 <= shift + q < len(ws) and ws[shift + q] == w for q, w in enumerate(notice)) / len(notice)
-        lo, hi = max(0, shift), shift + len(notice)
+        cover = sum(w in ws[max(0, shift + q - SLACK) : shift + q + SLACK + 1] for q, w in enumerate(notice)) / len(notice)
+        lo, hi = max(0, shift - SLACK), shift + SLACK + len(notice)
         if cover >= COVER and any(ws[p : p + len(key)] == key for p in range(lo, hi - len(key) + 1)):
             labels.add(label)
             best = max(best, cover)
@@ -123,7 +123,8 @@ def find_licenses(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Two passes: IDF over all documents, then each text against the notices' postings. Empty and null texts have no words
-    and no labels; repeated rows repeat; other columns are ignored.
+    and no labels; long texts are read whole; repeated rows repeat; an empty table gives no rows; other columns, whatever
+    their names, are ignored.
     """
     index = build_index(idf(docs))
 
@@ -136,4 +137,5 @@ def find_licenses(docs: DataFrame) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_licenses() of all documents; its docstring says what nulls, empty and long texts and repeated rows give."""
     return find_licenses(table(spark, sf_dir, "documents"))

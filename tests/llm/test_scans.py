@@ -106,6 +106,16 @@ def test_licenses_of_whole_table(spark, sf, texts):
         assert 0 <= r["score"] <= 1
 
 
+def test_license_notices_with_words_put_in_or_left_out():
+    index = license_scan.build_index(dict.fromkeys(license_scan.VOCABULARY, 1.0))
+    apache = license_scan.NOTICES[1][1].split()
+    for at in range(4, len(apache) - 3):
+        for text in (apache[:at] + ["really"] + apache[at:], apache[:at] + apache[at + 1 :]):
+            labels = license_scan.scan_text(" ".join(["before", *text, "after"]), index)[5]
+            assert (labels == "apache-2.0") == ("apache org licenses" in " ".join(text)), (at, text)
+    assert license_scan.scan_text(" ".join(sorted(apache)), index)[5] == ""
+
+
 def test_license_notices(spark, edge, nothing):
     rows = [(1, "x Released under the MIT License. y"), (2, "Licensed under the Apache License, Version 2.0."), (3, "the license of the work"), (4, "CC BY-SA")]
     got = {r["doc_id"]: r["labels"] for r in license_scan.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
