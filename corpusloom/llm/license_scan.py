@@ -14,20 +14,32 @@ from .common import per_batch, table
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Notices looked for: label, notice, key phrase that must stand in the aligned place.
+#: Notices and paragraphs of licences looked for: label, notice, key phrase that must stand in the aligned place.
 NOTICES = (
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses", "apache org licenses"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "distributed under the license is distributed"),
     ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "to deal in the software without restriction"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability", "authors or copyright holders be liable"),
     ("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
     ("gpl", "under the terms of the gnu general public license as published by the free software foundation", "general public license"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", "general public license along with"),
     ("lgpl", "under the terms of the gnu lesser general public license", "lesser general public license"),
     ("agpl", "under the terms of the gnu affero general public license", "affero general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "any express or implied warranties"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "copy of the mpl was not distributed"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "the author disclaims all warranties"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "anyone is free to copy modify"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights", "waived all copyright"),
     ("cc-by", "licensed under cc by 4 0", "cc by 4"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),

@@ -116,6 +116,20 @@ def test_license_notices_with_words_put_in_or_left_out():
     assert license_scan.scan_text(" ".join(sorted(apache)), index)[5] == ""
 
 
+def test_each_paragraph_of_a_licence_is_found_alone():
+    index = license_scan.build_index(dict.fromkeys(license_scan.VOCABULARY, 1.0))
+    for label, notice, key in license_scan.NOTICES:
+        assert f" {key} " in f" {notice} "
+        labels = license_scan.scan_text(f"Some words. {notice.upper()} -- and more words", index)[5]
+        assert label in labels.split(","), (label, notice)
+        swapped = " ".join(reversed(notice.split()))
+        assert label == "reserved" or label not in license_scan.scan_text(swapped, index)[5].split(","), (label, notice)
+    mit = "Copyright (c) 2024 A. Holder. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+    assert license_scan.scan_text(mit, index)[5] == "mit"
+    named = "Neither the name of The Example Foundation nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    assert license_scan.scan_text(named, index)[5] == "bsd"
+
+
 def test_license_notices(spark, edge, nothing):
     rows = [(1, "x Released under the MIT License. y"), (2, "Licensed under the Apache License, Version 2.0."), (3, "the license of the work"), (4, "CC BY-SA")]
     got = {r["doc_id"]: r["labels"] for r in license_scan.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
