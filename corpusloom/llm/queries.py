@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .ann import op7_nearest
+from .bag_search import OP12_SQL, op12_bag_search
+from .collocations import OP13_SQL, op13_collocations
 from .decontaminate import op8_decontaminate
+from .exact_dedup import OP11_SQL, op11_exact_dedup
 from .language_id import op2_language
 from .license_scan import op6_licenses
 from .near_dedup import op1_near_dedup
@@ -24,7 +27,10 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_bag_search": op12_bag_search,
+    "op13_collocations": op13_collocations,
 }
 
-#: DuckDB has no xxhash64, CRC-32, tokenizer or graph search, so these queries are tested against brute force instead.
-ORACLES: dict[str, str] = {}
+#: The others use hashes, a fitted model, a tokenizer or a graph, and are tested against brute force.
+ORACLES: dict[str, str] = {"op11_exact_dedup": OP11_SQL, "op12_bag_search": OP12_SQL, "op13_collocations": OP13_SQL}
