@@ -140,6 +140,32 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"))
 
 
+def quantile_sketches(df: DataFrame, keys: Sequence[str], value: str, accuracy: int = 1000) -> DataFrame:
+    """(keys, sketch, n): a mergeable KLL sketch of the values of each group, a few kilobytes however many rows it has.
+
+    Written by day, say, once; sketched_percentiles() merges them for any window. A rank is off by about 2.3 / accuracy of the rows
+    at most, 99 times in 100.
+    """
+    return df.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(accuracy)).alias("sketch"), F.count(value).alias("n")).where("n > 0")
+
+
+def sketched_percentiles(sketches: DataFrame, keys: Sequence[str], ranks: Mapping[str, float]) -> DataFrame:
+    """(keys, n, one column a rank) from sketches merged by the keys; ranks: column name to rank between 0 and 1."""
+    merged = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+    return merged.select(*keys, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(r)).alias(name) for name, r in ranks.items()])
+
+
+def rank_errors(df: DataFrame, keys: Sequence[str], value: str, told: DataFrame, ranks: Mapping[str, float]) -> DataFrame:
+    """(keys, one column a rank): how far the told quantile's true rank lies from the one asked for, as a share of the group's rows.
+
+    A value that many rows share covers all ranks from the first to the last of them.
+    """
+    met = df.join(F.broadcast(told.select(*keys, *ranks)), list(keys))
+    share = lambda c: F.avg(c.cast("double"))
+    off = lambda name, r: F.greatest(share(F.col(value) < F.col(name)) - r, r - share(F.col(value) <= F.col(name)), F.lit(0.0)).alias(name)
+    return met.groupBy(*keys).agg(*[off(name, r) for name, r in ranks.items()])
+
+
 def age_label(seconds: Column) -> Column:
     return (
         F.when(seconds < 10, "now")
@@ -150,6 +176,14 @@ def age_label(seconds: Column) -> Column:
     )
 
 
+def day_label(day: Column, as_of: Column) -> Column:
+    """Today, Yesterday, the weekday within a week, else month and day, of a date or its text; other texts stay as they are."""
+    date = F.to_date(F.try_to_timestamp(day.cast("string"), F.lit("yyyy-MM-dd")))
+    days = F.datediff(F.to_date(as_of), date)
+    label = F.when(days == 0, "Today").when(days == 1, "Yesterday").when(days < 7, F.date_format(date, "EEE")).otherwise(F.date_format(date, "MMM d"))
+    return F.when(date.isNull(), day.cast("string")).otherwise(label)
+
+
 def usd_label(c: Column) -> Column:
     """Dollars with 2 digits from 1 on, 3 from a cent on, 4 to 9 below, so that some stay; $0.00 for nothing, less or no number."""
     usd = c.cast("double")

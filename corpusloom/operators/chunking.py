@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import non_empty, strip
@@ -97,6 +97,16 @@ def parent_child(df: DataFrame, key: str, text: str) -> DataFrame:
     return each.withColumn("parent_id", F.xxhash64(key, "parent_no")).withColumn("chunk_id", F.xxhash64(key, "parent_no", "child_no"))
 
 
+def register_chunk_text(spark: SparkSession) -> None:
+    """Make the table function chunk_text(text, size, overlap, least) known to SQL: chunk()'s (chunk_no, text) of a text, for LATERAL joins."""
+
+    class ChunkText:
+        def eval(self, text: str, size: int, overlap: int, least: int):
+            yield from enumerate(split_text(text or "", size, overlap, least))
+
+    spark.udtf.register("chunk_text", F.udtf(ChunkText, returnType="chunk_no int, text string", useArrow=True))
+
+
 def validate(chunks: DataFrame) -> DataFrame:
     """(doc_id, chunk_no, reason): ok, or why a chunk is dropped."""
     reason = F.when(F.length(strip(F.col("text"))) < 100, "short").when(F.length("text") < 50, "below 50").otherwise("ok")

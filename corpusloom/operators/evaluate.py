@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.functions.text import strip
+from corpusloom.sources.files import with_place
+from corpusloom.sources.workspace import work_dir
 
-from .retrieval import bm25_topk
+from . import lexical_index
 
 #: Least means of a quality gate.
 GATES = (("faithfulness", 3.5), ("relevance", 4.0), ("precision", 0.75))
@@ -20,29 +23,22 @@ def first_sentence(text: Column, least: int = 15, most: int = 60) -> Column:
     return F.substring(F.coalesce(F.get(long, F.lit(0)), text), 1, most)
 
 
-def hard_negatives(docs: DataFrame, k: int = 10) -> DataFrame:
+def hard_negatives(docs: DataFrame, index: lexical_index.LexicalIndex | None = None) -> DataFrame:
     """(doc_id, negative, mined): for each document, asked with its first sentence, the best BM25 hit that isn't itself.
 
-    Documents with no other hit take the one seven places on by id, in a circle.
+    As many queries as documents are asked of a LexicalIndex, the given one or a new one, which ends each query once its two best
+    are sure: one of them isn't the document itself. Documents with no other hit take the one seven places on by id, in a circle.
     """
+    index = index or lexical_index.build(docs, work_dir(docs.sparkSession, "index"))
     queries = docs.select(F.col("doc_id").alias("query_id"), first_sentence(F.col("text")).alias("text"))
-    hits = bm25_topk(queries, docs, k).where("doc_id <> query_id")
+    hits = index.topk(queries, 2).where("doc_id <> query_id")
     best = hits.groupBy("query_id").agg(F.min_by("doc_id", "rank").alias("found"))
-    order = docs.select("doc_id").sort("doc_id")
-    place = _places(order)
+    place = with_place(docs.select("doc_id"), ["doc_id"], "i")
     n = place.agg(F.count(F.lit(1)).alias("n"))
     other = place.crossJoin(F.broadcast(n)).select("doc_id", ((F.col("i") + 7) % F.col("n")).alias("i")).join(place.withColumnRenamed("doc_id", "other"), "i")
     return other.join(best, F.col("doc_id") == F.col("query_id"), "left").select("doc_id", F.coalesce("found", "other").alias("negative"), F.col("found").isNotNull().alias("mined"))
 
 
-def _places(ids: DataFrame) -> DataFrame:
-    """(doc_id, i): places from 0 in the order of ids, by counts per range of ids and a rank inside each range."""
-    ranged = ids.select("doc_id", F.floor(F.col("doc_id") / 4096).alias("part"))
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("from"))
-    return ranged.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1).join(starts, "part").select("doc_id", (F.col("r") + F.col("from")).alias("i"))
-
-
 def quality_gate(means: DataFrame) -> DataFrame:
     """(metric, mean, least, passed) with a last row for all. means: metric, mean."""
     gates = means.sparkSession.createDataFrame(GATES, "metric string, least double")
@@ -56,6 +52,63 @@ def parse_score(answer: Column, label: str, otherwise: float) -> Column:
     return F.when(n.between(1, 5), n).otherwise(otherwise)
 
 
+def parse_pair_scores(raw: Column, expected: Column) -> Column:
+    """Scores, `expected` at most, from the JSON of a pair scorer; null for anything else.
+
+    Four shapes: numbers; lists of numbers, whose first counts (0 for none); lists of objects with `score`, likewise; an object with
+    `scores`. The first element tells the shape.
+    """
+    v = F.try_parse_json(raw)
+    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    number = lambda path: F.coalesce(F.regexp_like(F.schema_of_variant(get(path, "variant")), F.lit("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")), F.lit(False))
+    items = get("$", "array<variant>")
+    first = lambda path: F.transform(items, lambda x: F.coalesce(F.try_variant_get(x, path, "double"), F.lit(0.0)))
+    flat = F.slice(get("$", "array<double>"), 1, expected)
+    return (
+        F.when(number("$[0]"), flat)
+        .when(number("$[0][0]"), F.slice(first("$[0]"), 1, expected))
+        .when(number("$[0][0].score"), first("$[0].score"))
+        .otherwise(F.slice(get("$.scores", "array<double>"), 1, expected))
+    )
+
+
+def context_precision(queries: DataFrame, ranked: DataFrame, least: float = 0.5) -> DataFrame:
+    """(query_id, precision): the share of a query's rows whose cross is above `least`; 0 without rows."""
+    share = ranked.groupBy("query_id").agg(F.avg(F.when(F.col("cross") > least, 1.0).otherwise(0.0)).alias("precision"))
+    return queries.select("query_id").join(share, "query_id", "left").withColumn("precision", F.coalesce("precision", F.lit(0.0)))
+
+
+def keyword_recall(keywords: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, recall): the share of a query's keywords that stand in any of its texts; 1 without keywords, 0 without texts.
+
+    keywords: query_id, words array<string>; texts: query_id, text. Case plays no part.
+    """
+    words = keywords.select("query_id", F.explode(F.array_distinct("words")).alias("w"))
+    held = words.join(texts.select("query_id", F.lower("text").alias("text")), "query_id", "left").groupBy("query_id", "w").agg(F.max(F.coalesce(F.contains("text", F.lower("w")), F.lit(False)).cast("int")).alias("hit"))
+    return keywords.select("query_id").join(held.groupBy("query_id").agg(F.avg("hit").alias("recall")), "query_id", "left").withColumn("recall", F.coalesce("recall", F.lit(1.0)))
+
+
+def prefix_recall(truth: DataFrame, texts: DataFrame, length: int = 80) -> DataFrame:
+    """(query_id, recall): 1 if any text of the query holds the first `length` characters of its truth, without case; else 0."""
+    held = truth.select("query_id", F.lower(F.substring("truth", 1, length)).alias("p")).join(texts.select("query_id", F.lower("text").alias("text")), "query_id", "left")
+    return held.groupBy("query_id").agg(F.max(F.coalesce(F.contains("text", "p"), F.lit(False)).cast("double")).alias("recall"))
+
+
+def side_by_side(engines: Mapping[str, DataFrame], measures: Sequence[str]) -> DataFrame:
+    """(measure, one column an engine, delta): means over the questions that all engines have, and the last engine's minus the first's.
+
+    engines: query_id and the measures each. Questions are joined by id, so answers in another order, or missing ones, compare right.
+    """
+    joined = None
+    for name, df in engines.items():
+        one = df.select("query_id", *[F.col(m).alias(f"{name}__{m}") for m in measures])
+        joined = one if joined is None else joined.join(one, "query_id")
+    means = joined.agg(*[F.avg(f"{e}__{m}").alias(f"{e}__{m}") for e in engines for m in measures])
+    row = lambda m: F.struct(F.lit(m).alias("measure"), *[F.col(f"{e}__{m}").alias(e) for e in engines])
+    first, *_, last = engines
+    return means.select(F.explode(F.array(*[row(m) for m in measures])).alias("r")).select("r.*").withColumn("delta", F.col(last) - F.col(first))
+
+
 def parse_json_loose(raw: Column, schema: str, required: tuple[str, ...], default: Column) -> Column:
     """A struct from JSON that may stand in a code fence; the default where it isn't valid or lacks a field."""
     bare = F.regexp_replace(F.regexp_replace(strip(raw), r"^```(?:json)?\s*", ""), r"\s*```$", "")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import coverage_score, tokenize, tokenize_fts
+from corpusloom.sources.workspace import stored
 
 #: BM25's parameters, fusion's constant, thresholds of gate and context.
 K1, B, RRF_K, GATE, CONTEXT = 1.5, 0.75, 60, 0.50, 0.20
-#: Rows of asked terms that are broadcast; more are joined by shuffles.
-ASKED_ROWS = 500_000
+#: Bytes of asked terms that are broadcast; more are joined by shuffles.
+ASKED_BYTES = 16 << 20
 
 Tokenizer = Callable[[Column], Column]
 Scorer = Callable[[Column, Column], Column]
@@ -35,19 +36,35 @@ def bm25_index(docs: DataFrame, tokenizer: Tokenizer = tokenize) -> DataFrame:
     return tf.join(length, "doc_id").join(df, "term").crossJoin(F.broadcast(scalars)).withColumn("idf", _idf()).drop("n")
 
 
+def idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
 def _idf() -> Column:
-    return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return idf(F.col("n"), F.col("df"))
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A broadcast hint if the frame has no more than ASKED_ROWS rows, which are counted."""
-    return F.broadcast(df) if df.limit(ASKED_ROWS + 1).count() <= ASKED_ROWS else df
+    """A broadcast hint if the frame, in 64 bytes a row, takes no more than ASKED_BYTES; its rows are counted."""
+    most = ASKED_BYTES // 64
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def _hits(docs: DataFrame, terms: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """(doc_id, term, tf, len) of the asked terms only: other tokens go where they are read, and no row is dealt by its term."""
-    each = docs.select("doc_id", tokenizer(F.col("text")).alias("tokens")).select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    return each.join(_small(terms), "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
+def _hits(docs: DataFrame, terms: DataFrame, tokenizer: Tokenizer) -> tuple[DataFrame, DataFrame]:
+    """Postings (doc_id, term, tf, len) of the asked terms only, and the one row (n, avgdl) of all documents.
+
+    Texts are split once: each document's length goes along under the term null. Other tokens go where they are read. Few
+    terms are sent to the texts; with more, the tokens are counted by document before they are dealt by term.
+    """
+    each = docs.select("doc_id", F.coalesce(tokenizer(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    each = each.select("doc_id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "t")).alias("term"))
+    wanted = terms.unionByName(terms.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"))).withColumnRenamed("term", "__asked")
+    small = _small(wanted)
+    counted = lambda rows: rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
+    same = F.col("term").eqNullSafe(F.col("__asked"))
+    held = stored(counted(each.join(small, same, "left_semi")) if small is not wanted else counted(each).join(wanted, same, "left_semi"))
+    size = held.where("term IS NULL").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total")).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
+    return held.where("term IS NOT NULL"), size
 
 
 def _top(scored: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -57,15 +74,14 @@ def _top(scored: DataFrame, order: list[Column], k: int) -> DataFrame:
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 15, index: DataFrame | None = None, tokenizer: Tokenizer = tokenize) -> DataFrame:
     """(query_id, doc_id, score, rank) for queries (query_id, text); a token that stands twice counts twice. doc_id is a key.
 
-    The asked terms go to the texts: only their postings are counted and shuffled, by document and term, so hot terms spread.
-    With a stored bm25_index() the texts aren't read at all. Scores are rounded to 9 places before ranking; ties go to
+    Only the postings of asked terms are kept, counted by document and term. With a stored bm25_index() the texts aren't read at
+    all; for very many queries, lexical_index.build() makes an index whose topk() reads few postings. Scores are rounded to 9 places before ranking; ties go to
     the smaller id.
     """
     asked = queries.select("query_id", F.explode(tokenizer(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     terms = asked.select("term").distinct()
     if index is None:
-        hits = _hits(docs, terms, tokenizer)
-        size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(tokenizer(F.col("text")))).alias("total")).select("n", (F.col("total") / F.col("n")).alias("avgdl"))  # one row
+        hits, size = _hits(docs, terms, tokenizer)
         df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size)).select("term", _idf().alias("idf"), "avgdl")
         found = hits.join(_small(asked.join(df, "term")), "term")
     else:
@@ -78,7 +94,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 15, index: DataFrame
 def fts_topk(queries: DataFrame, docs: DataFrame, k: int = 15) -> DataFrame:
     """(query_id, doc_id, matched, tf, rank): any content token matches; more distinct tokens first, then more of them."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize_fts(F.col("text")))).alias("term"))
-    found = _hits(docs, asked.select("term").distinct(), tokenize).join(_small(asked), "term")
+    found = _hits(docs, asked.select("term").distinct(), tokenize)[0].join(_small(asked), "term")
     hits = found.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("tf").alias("tf"))
     return _top(hits, [F.desc("matched"), F.desc("tf"), F.asc("doc_id")], k)
 
@@ -141,12 +157,28 @@ def expand_to_parents(ranked: DataFrame, parents: DataFrame) -> DataFrame:
     return first.select("query_id", "chunk_id", "parent_id", "rank", F.coalesce("parent_text", "text").alias("text"), F.col("text").alias("child_text"))
 
 
-def build_context(ranked: DataFrame, most: int | None = None) -> DataFrame:
-    """(query_id, context): blocks of source and text in the order of rank."""
+#: What stands for a context without chunks, and the cuts of contexts for two kinds of prompt.
+NO_CONTEXT, LONG_CONTEXT, SHORT_CONTEXT = "No relevant context found.", 3500, 2500
+
+
+def _blocks(rows: DataFrame, block: Column, most: int | None) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("r"), block.alias("b"))))
+    text = F.array_join(F.transform(ordered, lambda x: x["b"]), "\n\n")
+    return rows.groupBy("query_id").agg((text if most is None else F.substring(text, 1, most)).alias("context"))
+
+
+def build_context(ranked: DataFrame, most: int | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, context): blocks of source and text in the order of rank; with queries, those without rows say so."""
     block = F.concat(F.lit("[Source: "), F.col("source"), F.lit(" ("), F.col("doc_id").cast("string"), F.lit(")]\n"), F.col("text"))
-    blocks = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("r"), block.alias("b"))))
-    text = F.array_join(F.transform(blocks, lambda x: x["b"]), "\n\n")
-    return ranked.groupBy("query_id").agg((text if most is None else F.substring(text, 1, most)).alias("context"))
+    found = _blocks(ranked, block, most)
+    return found if queries is None else queries.select("query_id").join(found, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(NO_CONTEXT)))
+
+
+def web_context(results: DataFrame, most: int | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, context) of web results (query_id, rank, title, snippet, url); with queries, those without results are empty."""
+    block = F.concat(F.lit("[WEB]: "), F.col("title"), F.lit("\n"), F.col("snippet"), F.lit("\n("), F.col("url"), F.lit(")"))
+    found = _blocks(results, block, most)
+    return found if queries is None else queries.select("query_id").join(found, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
 def source_list(ranked: DataFrame) -> DataFrame:
@@ -154,6 +186,20 @@ def source_list(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.array_join(F.transform(F.array_sort(F.collect_set("doc_id")), lambda x: x.cast("string")), ",").alias("doc_ids"))
 
 
+def citations(ranked: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, citations, parent_ids): for every query its rows' (name, url, score, document_id) in the order of rank, and the distinct documents.
+
+    ranked: query_id, rank, source, url, doc_id, cross, similarity. The score is cross, else similarity, else 0; rows without a document
+    are cited, and left out of parent_ids.
+    """
+    cited = F.struct(F.col("source").alias("name"), "url", F.coalesce("cross", "similarity", F.lit(0.0)).alias("score"), F.col("doc_id").alias("document_id"))
+    rows = F.array_sort(F.collect_list(F.struct("rank", cited.alias("c"))))
+    found = ranked.groupBy("query_id").agg(F.transform(rows, lambda x: x["c"]).alias("citations"), F.array_sort(F.collect_set("doc_id")).alias("parent_ids"))
+    whole = queries.select("query_id").join(found, "query_id", "left")
+    none = lambda name: F.array().cast(dict(found.dtypes)[name])
+    return whole.select("query_id", *[F.coalesce(c, none(c)).alias(c) for c in ("citations", "parent_ids")])
+
+
 def overlap(a: DataFrame, b: DataFrame, first: int = 15) -> DataFrame:
     """(query_id, recalled, shared): how many of a's first rows are in b, and how many rows both have."""
     both = a.join(b.select("query_id", "doc_id"), ["query_id", "doc_id"])

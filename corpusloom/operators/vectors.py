@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.functions.text import tokenize
+from corpusloom.functions.text import let, tokenize
+from corpusloom.sources.workspace import stored
 
 #: Queries, and corpus rows, of one block of an exact search: what a task holds.
 QUERY_BLOCK, CORPUS_BLOCK = 2048, 16_384
@@ -22,8 +23,7 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Divided by its norm; a zero vector stays."""
-    n = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0))
+    return let(norm(v), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -141,43 +141,116 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 15, least: float
     return _ranked(asked.groupBy("block", "part").cogroup(rows.groupBy("its_block", "its_part")).applyInArrow(meet, schema), k)
 
 
-def ann_topk(queries: DataFrame, corpus: DataFrame, k: int = 15, cell_rows: int = 64, probe: float = 0.75, sample: int = 20_000) -> DataFrame:
-    """Approximate dense_topk: k-means cells fitted on a bounded sample; each query asks the nearest share `probe` of the cells.
+class Cells:
+    """A corpus (id, vec; unit vectors) in cells around k-means centres, cut into rings by distance from the centre.
 
-    Each cell is one group: its queries against its vectors. Large cells are cut by a hash of the id, so no group grows
-    with the corpus.
+    The centres are fitted on a bounded sample; every vector is put into its nearest cell, and the rings' least and greatest
+    distances and sizes are counted over all. A ring wider than RING_ROWS rows is cut by a hash of the id, so that no group
+    grows with the corpus. What the driver holds is a row for each ring of each cell: up to 1,024 cells of RINGS rings.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
 
-    n = corpus.count()
-    cells = max(2, min(1024, n // cell_rows))
-    fit = corpus.orderBy(F.xxhash64("id")).limit(sample).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-    centres = np.array(KMeans(k=cells, seed=7, maxIter=10).fit(fit).clusterCenters())
-    width = max(1, int(np.ceil(len(centres) * probe)))
-    cuts = max(1, n // (cells * 8192))
+    RINGS, RING_ROWS = 16, 8192
 
-    def cells_of(m: int):
-        def run(batches):
+    def __init__(self, corpus: DataFrame, cell_rows: int = 64, sample: int = 20_000) -> None:
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        rows = corpus.select(F.col("id").cast("long"), F.col("vec").cast("array<double>").alias("vec"))
+        self.n = rows.count()
+        cells = max(1, min(1024, self.n // cell_rows))
+        fit = rows.orderBy(F.xxhash64("id")).limit(sample).select(array_to_vector("vec").alias("features"))
+        self.centres = np.array(KMeans(k=cells, seed=7, maxIter=10).fit(fit).clusterCenters()) if cells > 1 else np.array(fit.first()["features"].toArray())[None, :] if self.n else np.empty((0, 1))
+        centres, rings = self.centres, self.RINGS
+
+        def place(batches):
             for batch in batches:
                 if batch.num_rows:
-                    d = -2 * _matrix(batch.column(1), batch.num_rows) @ centres.T + (centres**2).sum(axis=1)
-                    at = np.argsort(d, axis=1, kind="stable")[:, :m]
-                    yield batch.append_column("cells", pa.array(at.tolist(), pa.list_(pa.int32())))
+                    d = _distances(_matrix(batch.column(1), batch.num_rows), centres)
+                    at = d.argmin(axis=1)
+                    near = d[np.arange(len(at)), at]
+                    ring = np.minimum((near * rings / 2).astype(np.int32), rings - 1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at * rings + ring, pa.int32()), pa.array(near)], ["id", "vec", "block", "near"])
+
+        placed = stored(rows.mapInArrow(place, "id long, vec array<double>, block int, near double"))
+        blocks = sorted(map(tuple, placed.groupBy("block").agg(F.min("near"), F.max("near"), F.count(F.lit(1))).collect()))
+        self.block, self.low, self.high, self.size = (np.array(x) for x in (list(zip(*blocks, strict=True)) or [[], [], [], []]))
+        parts = {int(b): -(-int(size) // self.RING_ROWS) for b, _, _, size in blocks}
+        cuts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for b, m in parts.items() if m > 1 for x in (b, m)] or [F.lit(-1), F.lit(1)]), F.col("block")), F.lit(1))
+        self.parts = parts
+        self.rows = placed.select("id", "vec", F.col("block").alias("its"), F.pmod(F.xxhash64("id"), cuts).cast("int").alias("part"))
+
+    def bounds(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function of queries: for each of them and each block, how near its vectors can be at best, by the triangle of query, centre and vector."""
+        centres, at, low, high = self.centres, (self.block // self.RINGS).astype(int), self.low, self.high
+
+        def run(q: np.ndarray) -> np.ndarray:
+            d = _distances(q, centres)[:, at]
+            return np.maximum(0.0, np.maximum(d - high, low - d))
 
         return run
 
-    asked = queries.select("query_id", "vec").mapInArrow(cells_of(width), "query_id long, vec array<double>, cells array<int>")
-    asked = asked.select("query_id", F.col("vec").alias("q"), F.explode("cells").alias("cell")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
-    held = corpus.select("id", "vec").mapInArrow(cells_of(1), "id long, vec array<double>, cells array<int>")
-    held = held.select("id", "vec", F.col("cells")[0].alias("c"), F.pmod(F.xxhash64("id"), F.lit(cuts)).cast("int").alias("s"))
 
-    def top(q: pa.Table, v: pa.Table) -> pa.Table:
-        if not q.num_rows or not v.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        sims = _matrix(q["q"].combine_chunks(), q.num_rows) @ _matrix(v["vec"].combine_chunks(), v.num_rows).T
-        row, best, s = _local_top(v["id"].to_numpy(), sims, k, -1.0)
-        return pa.table({"query_id": pa.array(q["query_id"].to_numpy()[row], pa.int64()), "id": pa.array(best, pa.int64()), "sim": pa.array(s, pa.float64())})
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, (a**2).sum(axis=1)[:, None] - 2 * a @ b.T + (b**2).sum(axis=1)))
+
+
+def ann_topk(queries: DataFrame, corpus: DataFrame, k: int = 15, cells: Cells | None = None, first: int = 4, slack: float = 0.0) -> DataFrame:
+    """dense_topk() without a threshold, by asking only cells that can hold one of the k best: (query_id, id, sim, rank, scored).
+
+    A query asks the blocks nearest to it until they hold `first` times k vectors. The k-th best of those bounds what is
+    sought: in the second round it asks every block that the triangle bound doesn't rule out, so the result is exact. With slack, blocks
+    that could be nearer than the k-th by less than that share are left out, and the result is approximate. scored counts
+    the vectors that the query was compared with; it is a few cells where the corpus is clustered, and all where it isn't.
+    """
+    cells = cells or Cells(corpus)
+    names, margin = "query_id long, q array<double>, block int, scored long", 1e-6
+    bounds, block, size = cells.bounds(), cells.block, cells.size
+
+    def ask(second: bool):
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                bound = bounds(_matrix(batch.column(1), batch.num_rows))
+                order = np.argsort(bound, axis=1, kind="stable")
+                held = np.cumsum(size[order], axis=1)
+                inside = np.zeros(bound.shape, bool)
+                np.put_along_axis(inside, order, held - size[order] < first * k, axis=1)
+                if second:
+                    kth = batch.column(2).to_numpy(zero_copy_only=False)
+                    reach = np.sqrt(np.maximum(0.0, 2 - 2 * kth)) * (1 - slack) + margin
+                    inside = ~inside & ((bound <= reach[:, None]) | np.isnan(kth)[:, None])
+                row, at = np.nonzero(inside)
+                scored = (inside * size).sum(axis=1)
+                for i in range(0, len(row), 1024):
+                    some = pa.array(row[i : i + 1024])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(block[at[i : i + 1024]], pa.int32()), pa.array(scored[row[i : i + 1024]], pa.int64())], ["query_id", "q", "block", "scored"])
 
-    local = asked.groupBy("cell", "cut").cogroup(held.groupBy("c", "s")).applyInArrow(lambda a, b: top(a, b), "query_id long, id long, sim double")
-    return _ranked(local, k)
+        return run
+
+    def met(q: pa.Table, v: pa.Table) -> pa.Table:
+        if not (q.num_rows and v.num_rows):
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        ids, out = q["query_id"].to_numpy(), []
+        vecs = _matrix(v["vec"].combine_chunks(), v.num_rows)
+        for i in range(0, q.num_rows, QUERY_BLOCK):
+            part = _matrix(q["q"].slice(i, QUERY_BLOCK).combine_chunks(), min(QUERY_BLOCK, q.num_rows - i))
+            row, best, s = _local_top(v["id"].to_numpy(), part @ vecs.T, k, -1.0)
+            out.append(pa.table({"query_id": pa.array(ids[i + row], pa.int64()), "id": pa.array(best, pa.int64()), "sim": pa.array(s, pa.float64())}))
+        return pa.concat_tables(out)
+
+    def found(asked: DataFrame) -> DataFrame:
+        parts = {b: m for b, m in cells.parts.items() if m > 1}
+        many = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for b, m in parts.items() for x in (b, m)] or [F.lit(-1), F.lit(1)]), F.col("block")), F.lit(1))
+        each = asked.withColumn("cut", F.explode(F.sequence(F.lit(0), many - 1)))
+        return each.groupBy("block", "cut").cogroup(cells.rows.groupBy("its", "part")).applyInArrow(met, "query_id long, id long, sim double")
+
+    if not cells.n:
+        return queries.sparkSession.createDataFrame([], "query_id long, id long, sim double, rank int, scored long")
+    asked = queries.select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>").alias("vec"))
+    one = stored(asked.mapInArrow(ask(False), names))
+    near = stored(_ranked(found(one), k).drop("rank"))
+    kth = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(float("nan"))).alias("kth"))
+    two = stored(asked.join(kth, "query_id").select("query_id", "vec", "kth").mapInArrow(ask(True), names))
+    scored = one.select("query_id", "scored").distinct().unionByName(two.select("query_id", "scored").distinct()).groupBy("query_id").agg(F.sum("scored").alias("scored"))
+    return _ranked(near.unionByName(found(two)), k).join(scored, "query_id")

@@ -124,6 +124,19 @@ R.on("ingest_summary", "orders", lambda d: d.rollup("o_orderstatus").agg(F.count
 R.on("chunk_totals", "documents", lambda d: d.agg(F.sum(F.ceil(F.col("n_chars") / 600)).alias("chunks"), F.max("doc_id").alias("last")), "SELECT sum(ceil(n_chars / 600))::BIGINT AS chunks, max(doc_id) AS last FROM documents")
 R.on("latency_percentiles", "events", lambda d: A.percentiles(d, ["event_type"], "value").select("event_type", F.round("median", 6).alias("median"), "p95"),
      "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+
+
+def sketched(d: DataFrame) -> DataFrame:
+    """Percentiles of each type from sketches by day, merged; and whether their true ranks lie within 1 % of those asked for."""
+    ranks = {"median": 0.5, "p95": 0.95}
+    told = A.sketched_percentiles(A.quantile_sketches(d.withColumn("day", F.to_date("ts")), ["event_type", "day"], "value"), ["event_type"], ranks)
+    off = A.rank_errors(d, ["event_type"], "value", told, ranks)
+    return told.join(off.select("event_type", *[(F.col(c) <= 0.01).alias(f"{c}_within") for c in ranks]), "event_type").select("event_type", "n", "median_within", "p95_within")
+
+
+R.on("sketched_percentiles", "events", sketched, "SELECT event_type, count(value) AS n, true AS median_within, true AS p95_within FROM events GROUP BY event_type")
+R.on("day_label", "events", lambda d: d.select("event_id", A.day_label(F.date_format("ts", "yyyy-MM-dd"), F.expr(AS_OF)).alias("label")),
+     f"SELECT event_id, CASE WHEN n = 0 THEN 'Today' WHEN n = 1 THEN 'Yesterday' WHEN n < 7 THEN strftime(ts, '%a') ELSE strftime(ts, '%b ') || day(ts) END AS label FROM (SELECT *, date_diff('day', ts::DATE, {AS_OF.replace('timestamp ', '')}::DATE) AS n FROM events)")
 R.on("export_markdown", "conversations", lambda d: A.joined_text(d, ["conv_id"], "turn", F.concat(F.lit("## "), F.initcap("role"), F.lit("\n\n"), F.col("text")), "\n\n", "markdown"),
      "SELECT conv_id, string_agg('## ' || upper(substr(role, 1, 1)) || substr(role, 2) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
 R.on("stage_timings", "events", lambda d: d.select(F.explode(F.from_json(F.to_json(F.array(F.struct(F.lit("retrieve").alias("stage"), F.col("value").alias("ms"), ask().alias("ran")), F.struct(F.lit("write").alias("stage"), F.when(answer(), F.col("value")).otherwise(0.0).alias("ms"), answer().alias("ran")))), "array<struct<stage:string,ms:double,ran:boolean>>")).alias("x")).select("x.*").groupBy("stage").agg(F.count_if("ran").alias("executed"), F.round(F.avg("ms"), 6).alias("avg_ms")),

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import chunking, lexical_index
+from corpusloom.operators import evaluate as E
 from corpusloom.operators import retrieval as RT
 from corpusloom.operators import vectors as V
+from corpusloom.sources.workspace import stored, work_dir
 
 from .base import Registry, load
 
@@ -57,6 +60,10 @@ def subqueries(s: SparkSession, d: str) -> DataFrame:
     return each.select((F.col("item_id") * 2 + F.col("j")).alias("query_id"), "text")
 
 
+def indexed(s: SparkSession, d: str) -> lexical_index.LexicalIndex:
+    return lexical_index.build(load(s, d, "documents"), work_dir(s, "index"))
+
+
 def vectors(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "embeddings").select(F.col("vec_id").alias("id"), V.l2_normalize(F.col("embedding")).alias("vec"), "label")
 
@@ -68,7 +75,8 @@ def probes(v: DataFrame) -> DataFrame:
 _VEC = "v AS (SELECT vec_id AS id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS vec FROM (SELECT *, embedding::DOUBLE[] AS e FROM embeddings)), vq AS (SELECT id AS query_id, vec, label AS q_label FROM v WHERE id % 100 = 0)"
 R.add("dense_topk", lambda s, d: V.dense_topk(probes(vectors(s, d)), vectors(s, d)).select("query_id", "id", F.round("sim", 6).alias("sim"), "rank"),
       f"WITH {_VEC}, {_dense('r', 'vq', 'v', 15, 0.2)} SELECT query_id, id, round(sim, 6) AS sim, rank FROM r")
-R.add("ann_topk", lambda s, d: V.ann_topk(probes(vectors(s, d)), vectors(s, d)))
+R.add("ann_topk", lambda s, d: V.ann_topk(probes(vectors(s, d)), vectors(s, d)).select("query_id", "id", F.round("sim", 6).alias("sim"), "rank"),
+      f"WITH {_VEC}, {_dense('r', 'vq', 'v', 15, -1)} SELECT query_id, id, round(sim, 6) AS sim, rank FROM r")
 R.add("similarity_join", lambda s, d: V.dense_topk(probes(vectors(s, d)), vectors(s, d), k=100, least=-1.0, other_only=True).select("query_id", "id", F.round("sim", 6).alias("sim")),
       f"WITH {_VEC}, {_dense('r', 'vq', 'v', 100, -1, 'query_id <> id')} SELECT query_id, id, round(sim, 6) AS sim FROM r")
 R.on("l2_normalize", "embeddings", lambda d: d.select("vec_id", F.posexplode(V.l2_normalize(F.col("embedding"))).alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x")),
@@ -92,6 +100,12 @@ R.on("embed_distinct", "documents", lambda d: V.embed_distinct(d, "doc_id", "tex
 R.on("vector_space_check", "embeddings", lambda d: d.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")), "SELECT len(embedding) AS dim, count(*) AS n FROM embeddings GROUP BY 1")
 R.add("bm25_topk", lambda s, d: RT.bm25_topk(asked(s, d), load(s, d, "documents")).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank"),
       f"WITH {BASE}, {_bm25('r', _Q, 15)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r")
+R.add("bm25_stored_topk", lambda s, d: indexed(s, d).topk(asked(s, d)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank"),
+      f"WITH {BASE}, {_bm25('r', _Q, 15)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r")
+R.add("bm25_stored_terms", lambda s, d: indexed(s, d).blocks.groupBy("term").agg(F.sum("n").alias("df"), F.round(F.max("idf"), 6).alias("idf"), F.round(F.max("top"), 6).alias("top")),
+      f"WITH {BASE} SELECT term, count(*) AS df, round(max(idf), 6) AS idf, round(max(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS top FROM ix GROUP BY term")
+R.add("bm25_stored_stats", lambda s, d: indexed(s, d).stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf")),
+      f"WITH {BASE} SELECT (SELECT n FROM st) AS n, round((SELECT avgdl FROM st), 6) AS avgdl, round(avg(idf), 6) AS avg_idf FROM (SELECT term, max(idf) AS idf FROM ix GROUP BY term)")
 R.on("bm25_index", "documents", lambda d: RT.bm25_index(d).select("doc_id", "term", "tf", "df", "len", F.round("idf", 6).alias("idf"), F.round("avgdl", 6).alias("avgdl")),
      f"WITH {BASE} SELECT doc_id, term, tf, df, len, round(idf, 6) AS idf, round(avgdl, 6) AS avgdl FROM ix")
 R.add("fts_topk", lambda s, d: RT.fts_topk(asked(s, d), load(s, d, "documents")), f"WITH {BASE}, {_fts('r', _Q, 15)} SELECT query_id, doc_id, matched, tf, rank FROM r")
@@ -103,14 +117,14 @@ R.on("corpus_profile", "documents", lambda d: d.select("doc_id", F.length("text"
      f"WITH {BASE} SELECT count(*) AS n, round(avg(length(text)), 6) AS avg_chars, round(avg(len({TOK.format('text')})), 6) AS avg_tokens, (SELECT count(DISTINCT term) FROM tf) AS terms FROM documents")
 
 
-def lists(s: SparkSession, d: str, queries: DataFrame, k: int = 15) -> DataFrame:
-    """(query_id, list_id, rank, doc_id): dense lists of both sub-queries, then sparse ones; query_id is the item's."""
+def lists(s: SparkSession, d: str, queries: DataFrame, k: int = 15, per: int = 2) -> DataFrame:
+    """(query_id, list_id, rank, doc_id): dense lists of an item's sub-queries, `per` at most, then sparse ones; query_id is the item's."""
     docs = load(s, d, "documents")
     vec = V.embed_text(docs, "doc_id", "text").withColumnRenamed("doc_id", "id")
     dense = V.dense_topk(V.embed_text(queries, "query_id", "text"), vec, k).select("query_id", F.col("id").alias("doc_id"), "rank", F.lit(0).alias("kind"))
-    sparse = RT.bm25_topk(queries, docs, k).select("query_id", "doc_id", "rank", F.lit(2).alias("kind"))
+    sparse = RT.bm25_topk(queries, docs, k).select("query_id", "doc_id", "rank", F.lit(per).alias("kind"))
     both = dense.unionByName(sparse)
-    return both.select(F.floor(F.col("query_id") / 2).alias("query_id"), (F.col("kind") + F.col("query_id") % 2).alias("list_id"), "rank", "doc_id")
+    return both.select(F.floor(F.col("query_id") / per).alias("query_id"), (F.col("kind") + F.col("query_id") % per).alias("list_id"), "rank", "doc_id")
 
 
 _LISTS = f"""{BASE}, {_SUB}, {_embed('de', 'documents', 'doc_id')}, {_embed('qe', 'sub', 'query_id')}, {_dense('dn', 'qe', '(SELECT doc_id AS id, vec FROM de)', 15, 0.2)}, {_bm25('sp', 'sub', 15)},
@@ -132,7 +146,7 @@ def reranked(s: SparkSession, d: str) -> DataFrame:
 def hybrid(s: SparkSession, d: str) -> DataFrame:
     """Sub-queries, dense and sparse lists, fusion, reranking and gate, for all items in one plan."""
     docs = load(s, d, "documents").select("doc_id", "source")
-    ranked = reranked(s, d)
+    ranked = stored(reranked(s, d))
     return ranked.join(RT.crag_gate(asked(s, d), ranked), "query_id").join(docs, "doc_id").select("query_id", "rank", "doc_id", "source", F.round("cross", 6).alias("cross"), "path_used")
 
 
@@ -167,6 +181,57 @@ R.add("source_list", lambda s, d: RT.source_list(with_text(s, d, reranked(s, d))
       f"WITH {_RERANK} SELECT query_id, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, array_to_string(list_sort(list_distinct(list(doc_id))), ',') AS doc_ids FROM rr JOIN documents USING (doc_id) GROUP BY query_id")
 R.add("hybrid_retrieve", hybrid,
       f"""WITH {_RERANK} SELECT query_id, rank, doc_id, source, round("cross", 6) AS "cross", CASE WHEN max("cross") OVER (PARTITION BY query_id) < 0.5 THEN 'web' ELSE 'vector' END AS path_used FROM rr JOIN documents USING (doc_id)""")
+
+
+def normalized(s: SparkSession, d: str, per: int = 3) -> DataFrame:
+    """An item's sub-queries: its text, then its distinct sentences; query_id is item_id * per and the place."""
+    subs = chunking.normalize_subqueries(F.col("text"), F.split("text", r"[.!?]\s+"), per)
+    return load(s, d, "benchmark").select("item_id", F.posexplode(subs).alias("j", "text")).select((F.col("item_id") * per + F.col("j")).alias("query_id"), "text")
+
+
+def hybrid_expanded(s: SparkSession, d: str) -> DataFrame:
+    """The whole retrieval of all items: normalised sub-queries, dense and sparse lists, fusion, reranking, gate, parents' texts.
+
+    Documents stand for chunks; every tenth, if long enough, is the parent of the nine after it.
+    """
+    docs = load(s, d, "documents")
+    found = stored(RT.rerank_topk(RT.rrf_fuse(lists(s, d, normalized(s, d), per=3)), asked(s, d), docs))
+    chunks = with_text(s, d, found).select("query_id", F.col("doc_id").alias("chunk_id"), F.floor(F.col("doc_id") / 10).alias("parent_id"), "rank", "text")
+    parents = docs.where("doc_id % 10 = 0 AND n_chars > 1000").select(F.floor(F.col("doc_id") / 10).alias("parent_id"), "text")
+    return RT.expand_to_parents(chunks, parents).join(RT.crag_gate(asked(s, d), found), "query_id").select("query_id", "chunk_id", "rank", F.md5("text").alias("text_md5"), "path_used")
+
+
+_SUB3 = """sub AS (SELECT item_id * 3 + row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS query_id, substr(x, 1, 500) AS text FROM (SELECT item_id, x, min(i) AS i FROM (SELECT item_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (
+    SELECT item_id, list_prepend(text, list_filter(list_transform(regexp_split_to_array(text, '[.!?]\\s+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')) AS l FROM benchmark)) GROUP BY item_id, x) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i) <= 3)"""
+_RERANK3 = _RERANK.replace(_SUB, _SUB3).replace("query_id // 2", "query_id // 3").replace("query_id % 2 AS", "query_id % 3 AS").replace("2 + query_id % 2", "3 + query_id % 3")
+R.add("hybrid_expanded", hybrid_expanded,
+      f"""WITH {_RERANK3}, p AS (SELECT doc_id // 10 AS parent_id, text AS pt FROM documents WHERE doc_id % 10 = 0 AND n_chars > 1000),
+      b AS (SELECT query_id, max("cross") AS m FROM rr GROUP BY 1)
+      SELECT query_id, chunk_id, rank, md5(t) AS text_md5, CASE WHEN m < 0.5 THEN 'web' ELSE 'vector' END AS path_used FROM (SELECT query_id, doc_id AS chunk_id, rank, coalesce(pt, text) AS t, row_number() OVER (PARTITION BY query_id, CASE WHEN pt IS NULL THEN 'c' || doc_id ELSE 'p' || parent_id END ORDER BY rank) AS i FROM rr JOIN documents USING (doc_id) LEFT JOIN p ON parent_id = doc_id // 10) JOIN b USING (query_id) WHERE i = 1""")
+
+
+def partly(s: SparkSession, d: str) -> DataFrame:
+    """Reranked rows, as if a seventh of the items had found nothing."""
+    return reranked(s, d).where("query_id % 7 <> 3")
+
+
+_PARTLY = "(SELECT * FROM rr WHERE query_id % 7 <> 3)"
+R.add("context_or_sentinel", lambda s, d: RT.build_context(with_text(s, d, partly(s, d)), RT.LONG_CONTEXT, asked(s, d)).select("query_id", F.md5("context").alias("context_md5")),
+      f"WITH {_RERANK} SELECT item_id AS query_id, md5(coalesce(c, 'No relevant context found.')) AS context_md5 FROM benchmark LEFT JOIN (SELECT query_id, substr(string_agg('[Source: ' || source || ' (' || doc_id || ')]' || chr(10) || text, chr(10) || chr(10) ORDER BY rank), 1, 3500) AS c FROM {_PARTLY} JOIN documents USING (doc_id) GROUP BY query_id) ON query_id = item_id")
+
+
+def from_web(s: SparkSession, d: str) -> DataFrame:
+    """Pages as web results of the items: page_id tells the item and the place."""
+    n = load(s, d, "benchmark").agg(F.max("item_id").alias("n"))
+    pages = load(s, d, "pages").crossJoin(F.broadcast(n)).where("page_id % (n + 9) <= n")
+    return pages.select((F.col("page_id") % (F.col("n") + 9)).alias("query_id"), F.col("page_id").alias("rank"), T.html_title(F.col("html")).alias("title"), F.substring("html", 1, 80).alias("snippet"), "url")
+
+
+R.add("web_context", lambda s, d: RT.web_context(from_web(s, d).withColumn("title", F.concat(F.lit("page "), "rank")), RT.SHORT_CONTEXT, asked(s, d)).select("query_id", F.md5("context").alias("context_md5")),
+      "SELECT item_id AS query_id, md5(coalesce(c, '')) AS context_md5 FROM benchmark LEFT JOIN (SELECT page_id % (n + 9) AS query_id, substr(string_agg('[WEB]: page ' || page_id || chr(10) || substr(html, 1, 80) || chr(10) || '(' || url || ')', chr(10) || chr(10) ORDER BY page_id), 1, 2500) AS c FROM pages, (SELECT max(item_id) AS n FROM benchmark) GROUP BY 1) ON query_id = item_id")
+R.add("citations", lambda s, d: RT.citations(with_text(s, d, partly(s, d)).withColumn("url", F.concat(F.lit("doc:"), "doc_id")).withColumn("similarity", F.when(F.col("doc_id") % 2 == 0, F.col("rrf"))).withColumn("cross", F.when(F.col("doc_id") % 3 == 0, F.col("cross"))), asked(s, d))
+      .select("query_id", F.array_join(F.transform("citations", lambda c: F.concat_ws("|", c["name"], c["url"], F.format_string("%.6f", c["score"]), c["document_id"].cast("string"))), ";").alias("cited"), F.array_join(F.transform("parent_ids", lambda x: x.cast("string")), ",").alias("parents")),
+      f"""WITH {_RERANK} SELECT item_id AS query_id, coalesce(cited, '') AS cited, coalesce(parents, '') AS parents FROM benchmark LEFT JOIN (SELECT query_id, string_agg(source || '|doc:' || doc_id || '|' || printf('%.6f', CASE WHEN doc_id % 3 = 0 THEN "cross" WHEN doc_id % 2 = 0 THEN rrf ELSE 0.0 END) || '|' || doc_id, ';' ORDER BY rank) AS cited, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS parents FROM {_PARTLY} JOIN documents USING (doc_id) GROUP BY 1) ON query_id = item_id""")
 R.add("mrr_at_k", lambda s, d: mrr(vectors(s, d)),
       f"WITH {_VEC}, {_dense('r', 'vq', 'v', 10, -1, 'query_id <> id')} SELECT round(avg(coalesce(1 / f, 0)), 6) AS mrr, count(*) AS queries FROM vq LEFT JOIN (SELECT query_id, min(rank) AS f FROM r JOIN v USING (id) JOIN vq USING (query_id) WHERE label = q_label GROUP BY 1) USING (query_id)")
 
@@ -184,6 +249,12 @@ R.add("context_precision", lambda s, d: reranked(s, d).groupBy("query_id").agg(F
       f'WITH {_RERANK} SELECT query_id, round(avg(CASE WHEN "cross" > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS "precision" FROM rr GROUP BY 1')
 
 
+R.add("context_precision_all", lambda s, d: E.context_precision(asked(s, d), partly(s, d), 0.4).select("query_id", F.round("precision", 6).alias("precision")),
+      f'WITH {_RERANK} SELECT item_id AS query_id, coalesce(p, 0.0) AS "precision" FROM benchmark LEFT JOIN (SELECT query_id, round(avg(CASE WHEN "cross" > 0.4 THEN 1.0 ELSE 0.0 END), 6) AS p FROM {_PARTLY} GROUP BY 1) ON query_id = item_id')
+R.add("context_recall_prefix", lambda s, d: E.prefix_recall(asked(s, d).withColumnRenamed("text", "truth"), with_text(s, d, partly(s, d)), 30),
+      f"WITH {_RERANK} SELECT item_id AS query_id, max(CASE WHEN contains(lower(coalesce(d.text, '')), lower(substr(b.text, 1, 30))) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS recall FROM benchmark b LEFT JOIN {_PARTLY} r ON query_id = item_id LEFT JOIN documents d USING (doc_id) GROUP BY 1")
+
+
 def recall(s: SparkSession, d: str) -> DataFrame:
     """Share of an item's distinct tokens that stand in the texts of its best documents."""
     words = asked(s, d).select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("w"))

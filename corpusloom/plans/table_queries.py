@@ -12,6 +12,7 @@ from corpusloom.operators import evaluate as E
 from corpusloom.operators import sync as S
 from corpusloom.operators import vectors as V
 from corpusloom.sources import files
+from corpusloom.sources.workspace import stored
 from corpusloom.streaming import jobs
 
 from .base import AS_OF, LINES_SQL, Registry, lines, load
@@ -77,6 +78,19 @@ R.add("cache_invalidate", lambda s, d: C.invalidate(snapshots(s, d)[0], load(s,
 R.add("lineage_join", lambda s, d: C.lineage(snapshots(s, d)[0], load(s, d, "documents").where("n_chars > 10000").select("doc_id")),
       f"WITH {_OLD}, g AS (SELECT doc_id FROM documents WHERE n_chars > 10000) SELECT query_hash FROM o WHERE c % 50 IN (SELECT doc_id FROM g) OR c % 7 IN (SELECT doc_id FROM g)")
 R.add("cache_clear", lambda s, d: C.clear(entries(s, d)).agg(F.count(F.lit(1)).alias("n")), "SELECT 0::BIGINT AS n FROM (SELECT count(*) FROM conversations)")
+
+
+def cleared(s: SparkSession, d: str) -> DataFrame:
+    """A cache written as a snapshot, cleared, and filled anew with some: what readers of either snapshot see."""
+    old, _ = snapshots(s, d)
+    before = stored(old.select("query_hash", "expires_at"))
+    after = stored(C.clear(before).unionByName(before.where(F.col("expires_at") > F.expr(AS_OF))))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("snapshot"), "n")
+    return count(before, "before").unionByName(count(C.clear(before), "cleared")).unionByName(count(after, "after"))
+
+
+R.add("cache_clear_snapshot", cleared,
+      f"WITH {_OLD}, x AS (SELECT query_hash, arg_min(expires_at, conv_id) AS expires_at FROM e GROUP BY 1) SELECT 'before' AS snapshot, count(*) AS n FROM x UNION ALL SELECT 'cleared', 0 FROM (SELECT 1) UNION ALL SELECT 'after', count(*) FROM x WHERE expires_at > {_AT}")
 R.on("cacheable_filter", "events", lambda d: C.cacheable(d.select("event_id", (F.col("value") > 10).alias("grounded"), (F.col("event_type") == "error").alias("bypassed"))).select("event_id"), "SELECT event_id FROM events WHERE value > 10 AND event_type <> 'error'")
 
 
@@ -100,8 +114,8 @@ def synced(s: SparkSession, d: str) -> DataFrame:
     return S.apply_sync(chunk(old), S.classify(old, new), chunk(new)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
-R.add("apply_sync", synced,
-      f"WITH {_NEW}, z AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM c WHERE change IN ('created', 'updated')) UNION ALL SELECT doc_id, text FROM w JOIN c USING (doc_id) WHERE change IN ('created', 'updated')) SELECT doc_id, count(*) AS chunks, sum(length(t))::BIGINT AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM z) WHERE t <> '' GROUP BY 1")
+SYNCED_SQL = f"WITH {_NEW}, z AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM c WHERE change IN ('created', 'updated')) UNION ALL SELECT doc_id, text FROM w JOIN c USING (doc_id) WHERE change IN ('created', 'updated')) SELECT doc_id, count(*) AS chunks, sum(length(t))::BIGINT AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM z) WHERE t <> '' GROUP BY 1"
+R.add("apply_sync", synced, SYNCED_SQL)
 R.add("retitle", lambda s, d: S.retitle(load(s, d, "documents").select("doc_id", F.col("source").alias("title")), versions(s, d)[1].select("doc_id", F.col("title").alias("new_title"))),
       f"WITH {_NEW} SELECT doc_id, coalesce(w.title, source) AS title FROM documents LEFT JOIN w USING (doc_id)")
 R.add("delete_documents_cascade", lambda s, d: S.cascade_delete({"documents": load(s, d, "documents"), "chunks": lines(load(s, d, "documents")), "labels": load(s, d, "labels")}, load(s, d, "documents").where("lang = 'de'").select("doc_id"))[1],
@@ -153,6 +167,16 @@ def _testset(conv: DataFrame) -> DataFrame:
     return raw.select("conv_id", "turn", q.alias("question"), a.alias("answer")).where("question IS NOT NULL AND answer IS NOT NULL")
 
 
+
+
+def _numbered(conv: DataFrame) -> DataFrame:
+    """The pairs with ids q0001, q0002 and so on in their order, and the lineage of each."""
+    placed = files.with_place(_testset(conv), ["conv_id", "turn"], "i")
+    return placed.select(F.concat(F.lit("q"), F.lpad((F.col("i") + 1).cast("string"), 4, "0")).alias("id"), F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("lineage"), F.md5("question").alias("question_md5"))
+
+
+R.on("testset_ids", "conversations", _numbered,
+     "SELECT 'q' || lpad(row_number() OVER (ORDER BY conv_id, turn)::VARCHAR, 4, '0') AS id, conv_id || '/' || turn AS lineage, md5(q) AS question_md5 FROM (SELECT conv_id, turn, " + _STRIP.format("text") + " AS a, " + _STRIP.format("lag(text) OVER (PARTITION BY conv_id ORDER BY turn)") + " AS q, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS pr FROM conversations) WHERE role = 'assistant' AND pr = 'user' AND a <> '' AND q <> ''")
 R.on("similarity_order_check", "embeddings", lambda d: d.select("vec_id", V.norm(F.col("embedding")).alias("x")).groupBy((F.round("x", 3) == 1).alias("unit")).agg(F.count(F.lit(1)).alias("n")), "SELECT round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))), 3) = 1 AS \"unit\", count(*) AS n FROM embeddings GROUP BY 1")
 R.add("write_embeddings", lambda s, d: files.with_global_index(lines(load(s, d, "documents")), "doc_id", "line_no").select("doc_id", "line_no", "global_index"),
       f"SELECT doc_id, line_no, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS global_index FROM ({LINES_SQL})")
@@ -178,8 +202,34 @@ def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 R.add("stream_daily_counts", lambda s, d: jobs.drain(jobs.daily_counts(_stream(s, d, "events"), F.col("event_type") == "view"), "complete"), "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1")
-R.add("stream_memory", lambda s, d: jobs.drain(jobs.last_messages(_stream(s, d, "conversations")), "update").select("conv_id", "turns"),
+
+
+def turns_arriving(s: SparkSession, d: str) -> DataFrame:
+    """Conversations as a stream in three micro-batches, each with some turns of all conversations."""
+    return jobs.arrive(load(s, d, "conversations"), F.least(F.floor(F.col("turn") / 3), F.lit(2)), 3)
+
+
+def events_arriving(s: SparkSession, d: str, parts: int = 4) -> DataFrame:
+    """Events as a stream of micro-batches, each row up to 21 hours late; a last row without id moves the watermark past all."""
+    e = load(s, d, "events").select("event_id", "user_id", "props", F.col("ts").cast("timestamp").alias("ts"))
+    late = F.unix_seconds("ts") - F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(75_600))
+    part = F.greatest(F.lit(0), F.least(F.floor(late / (31 * 86_400 / parts)), F.lit(parts - 1)))
+    mark = s.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in (("event_id", "long"), ("user_id", "long"), ("props", "string"))], F.lit("2100-01-01").cast("timestamp").alias("ts"), F.lit(parts).alias("part"))
+    rows = e.withColumn("part", part).unionByName(mark)
+    return jobs.arrive(rows, F.col("part"), parts + 1).drop("part")
+
+
+R.add("stream_memory", lambda s, d: jobs.drain(jobs.memory(turns_arriving(s, d)), "update").where("turns IS NOT NULL").groupBy("conv_id").agg(F.max_by("turns", "batch").alias("turns")),
       "SELECT conv_id, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS i FROM (SELECT DISTINCT conv_id, turn FROM conversations)) WHERE i <= 8 GROUP BY conv_id")
-R.add("stream_cache", lambda s, d: jobs.drain(jobs.first_answers(_stream(s, d, "events").select(F.col("props").alias("query_hash"), "ts"))).groupBy("query_hash").agg(F.count(F.lit(1)).alias("n")), "SELECT DISTINCT props AS query_hash, 1::BIGINT AS n FROM events")
+_CHATS = "conversations WHERE role IN ('user', 'assistant')"
+R.add("stream_evicted_pairs", lambda s, d: jobs.drain(jobs.memory(turns_arriving(s, d).where("role IN ('user', 'assistant')"), 4), "update").where("evicted IS NOT NULL").select("conv_id", F.col("evicted").alias("turn"), "user_text", "answer"),
+      f"SELECT conv_id, turn, user_text, substr(text, 1, 200) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS i, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS user_text FROM {_CHATS}) WHERE i > 4 AND role = 'assistant'")
+R.add("stream_memory_context", lambda s, d: jobs.drain(jobs.memory(turns_arriving(s, d).where("role IN ('user', 'assistant')"), 4), "update").where("turns IS NOT NULL").groupBy("conv_id").agg(F.max_by("context", "batch").alias("context")),
+      f"SELECT conv_id, string_agg(upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || text, chr(10) ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS i FROM {_CHATS}) WHERE i <= 4 GROUP BY conv_id")
+R.add("stream_cache", lambda s, d: jobs.drain(jobs.cache_answers(events_arriving(s, d), "props")).select("query_hash", "event_id", "entry_id", "hit"),
+      """WITH RECURSIVE a AS (SELECT props AS h, min(struct_pack(t := ts, i := event_id)) AS m FROM events GROUP BY props
+      UNION ALL SELECT a.h, min(struct_pack(t := e.ts, i := e.event_id)) AS m FROM a JOIN events e ON e.props = a.h AND e.ts >= a.m.t + INTERVAL 7 DAY GROUP BY a.h, a.m)
+      SELECT e.props AS query_hash, e.event_id, max(m).i AS entry_id, max(m).i <> e.event_id AS hit FROM events e JOIN a ON a.h = e.props AND a.m <= struct_pack(t := e.ts, i := e.event_id) GROUP BY e.props, e.event_id""")
+R.add("rate_limit_stream", lambda s, d: jobs.drain(jobs.rate_limit_stream(events_arriving(s, d), "user_id", 3, 86400.0)).select("event_id", "admitted", "remaining", "reset_s"))
 R.add("pairing_stream", lambda s, d: jobs.drain(jobs.pairs(_stream(s, d, "events").where("event_type = 'view'").select("event_id", "user_id", "ts"), _stream(s, d, "events").where("event_type = 'purchase'").select("event_id", "user_id", "ts"))).where("answer_id IS NOT NULL").groupBy("event_id").agg(F.min_by("answer_id", "answer_ts").alias("answer_id")),
       "SELECT q.event_id, arg_min(a.event_id, a.ts) AS answer_id FROM events q JOIN events a ON q.user_id = a.user_id AND a.ts > q.ts AND a.ts <= q.ts + INTERVAL 12 HOUR WHERE q.event_type = 'view' AND a.event_type = 'purchase' GROUP BY 1")

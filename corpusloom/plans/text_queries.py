@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -189,6 +189,17 @@ R.add(
     f"SELECT doc_id, line_no AS chunk_no, CASE WHEN length({_STRIP.format('text')}) < 100 THEN 'short' WHEN length(text) < 50 THEN 'below 50' ELSE 'ok' END AS reason FROM ({LINES_SQL})",
 )
 R.on("chunk_recursive", "documents", lambda d: chunking.chunk(d, "doc_id", "text"))
+
+
+def lateral(spark: SparkSession, d: str) -> DataFrame:
+    """chunk_recursive in SQL, by the table function."""
+    chunking.register_chunk_text(spark)
+    load(spark, d, "documents").createOrReplaceTempView("documents_to_chunk")
+    size, overlap, least = chunking.FLAT
+    return spark.sql(f"SELECT doc_id, c.chunk_no, c.text, CAST(length(c.text) AS BIGINT) AS char_count FROM documents_to_chunk, LATERAL chunk_text(text, {size}, {overlap}, {least}) c")
+
+
+R.add("chunk_lateral", lateral)
 R.on("chunk_parent_child", "documents", lambda d: chunking.parent_child(d, "doc_id", "text"))
 R.on("chunk_all_sources", "documents", lambda d: chunking.chunk(cleaned(d), "doc_id", "text"))
 R.add(

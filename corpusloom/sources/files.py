@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.functions.text import strip
 
+from .workspace import stored
+
 MANIFEST = "url string, pdf string, title string"
 
 
@@ -42,7 +44,7 @@ def parse_batch_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Entries (kind, value, title) of one file: a JSON array, or lines."""
     whole = spark.read.text(path, wholetext=True)
     items = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
-    lines = F.coalesce(F.transform(items, F.to_json), F.split("value", r"\r?\n"))
+    lines = F.coalesce(F.transform(items, lambda x: F.to_json(x)), F.split("value", r"\r?\n"))
     return whole.select(F.explode(lines).alias("line")).select(parse_manifest_lines(F.col("line")).alias("e")).where("e IS NOT NULL").select("e.*")
 
 
@@ -61,18 +63,25 @@ def write_chunks(chunks: DataFrame, path: str, kind: str = "parquet") -> None:
     chunks.write.mode("overwrite").format(kind).save(path)
 
 
-def with_global_index(chunks: DataFrame, doc: str, no: str) -> DataFrame:
-    """Chunks with `global_index`, dense from 0 in the order of document and number.
+def with_place(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with `name`, places from 0 without gaps in the order of the columns, whose values are of any kind.
 
-    Counts per document are summed over ranges of ids, so no global window sees all chunks.
+    The rows are dealt into ranges of that order and sorted there; counts of the ranges, one row each, give where each range
+    starts. What is sampled for the ranges decides their sizes only. No window sees more than the counts.
     """
-    sizes = chunks.groupBy(doc).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.floor(F.col(doc) / 4096))
-    parts = sizes.groupBy("part").agg(F.sum("n").alias("m"))
-    starts = parts.select("part", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(doc).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = sizes.withColumn("b", before).join(starts, "part").select(doc, (F.col("b") + F.col("s")).alias("__from"))
-    rank = F.row_number().over(Window.partitionBy(doc).orderBy(no)) - 1
-    return chunks.withColumn("__r", rank).join(first, doc).withColumn("global_index", F.col("__from") + F.col("__r")).drop("__from", "__r")
+    spark = df.sparkSession
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    rows = stored(sorted_.withColumn("__range", F.shiftright(at, 33).cast("int")).withColumn("__at", at.bitwiseAND((1 << 33) - 1)))
+    counts = sorted(map(tuple, rows.groupBy("__range").count().collect()))
+    starts = list(accumulate((n for _, n in counts), initial=0))
+    first = spark.createDataFrame([(r, s) for (r, _), s in zip(counts, starts, strict=False)], "__range int, __from long")
+    return rows.join(F.broadcast(first), "__range").withColumn(name, F.col("__from") + F.col("__at")).drop("__range", "__at", "__from")
+
+
+def with_global_index(chunks: DataFrame, doc: str, no: str) -> DataFrame:
+    """Chunks with `global_index`, dense from 0 in the order of document and number."""
+    return with_place(chunks, [doc, no], "global_index")
 
 
 def load_once(spark: SparkSession, df: DataFrame, path: str, force: bool = False) -> bool:

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import json
-import tempfile
-import uuid
 from collections import deque
 from collections.abc import Callable
+from contextlib import contextmanager
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, or a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusloom-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+from corpusloom.sources.workspace import work_dir
 
 
 def follow(spark: SparkSession, path: str) -> DataFrame:
@@ -27,16 +20,42 @@ def follow(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is available; its rows, or in complete mode the last table."""
-    spark, folder = stream.sparkSession, work_dir(stream.sparkSession)
+def arrive(df: DataFrame, part: Column, parts: int, folder: str | None = None) -> DataFrame:
+    """df as a stream that brings the rows whose `part` is 0, then 1 and so on, a micro-batch each, from files of a folder."""
+    spark = df.sparkSession
+    folder = folder or work_dir(spark, "arrive")
+    for p in range(parts):
+        df.where(part == p).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@contextmanager
+def _state_store(spark: SparkSession):
+    """Processors with state need the RocksDB store; the session's own setting returns afterwards."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream over all that is available; its rows, or in complete mode the last table.
+
+    With a folder of its own, a later run goes on where this one ended, with the state it had.
+    """
+    spark = stream.sparkSession
+    folder = folder or work_dir(spark, "stream")
     schema = stream.schema
 
     def keep(batch: DataFrame, n: int) -> None:
         at = f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={n}"
         batch.write.mode("overwrite").parquet(at)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    with _state_store(spark):
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
@@ -46,11 +65,6 @@ def daily_counts(events: DataFrame, where: Column, late: str = "1 day") -> DataF
     return days.agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n")
 
 
-def first_answers(answers: DataFrame, ttl: str = "7 days") -> DataFrame:
-    """The first answer per hash within its life. answers: query_hash, ts."""
-    return answers.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["query_hash"])
-
-
 def pairs(asked: DataFrame, answered: DataFrame, bound: str = "12 hours") -> DataFrame:
     """Questions with each answer of the same user within the bound, or null when the watermark has passed it."""
     q = asked.withWatermark("ts", "1 hour").alias("q")
@@ -59,32 +73,183 @@ def pairs(asked: DataFrame, answered: DataFrame, bound: str = "12 hours") -> Dat
     return q.join(a, on, "left_outer").select(F.col("q.event_id").alias("event_id"), F.col("a.event_id").alias("answer_id"), F.col("a.ts").alias("answer_ts"))
 
 
-def last_messages(messages: DataFrame, n: int = 8) -> DataFrame:
-    """(conv_id, turns): the turns of the last n messages of a conversation, after each batch that brings some."""
+class _Memory(StatefulProcessor):
+    """A conversation's last n messages, and what falls out of them."""
+
+    def __init__(self, n: int, cut: int) -> None:
+        self.n, self.cut = n, cut
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "turn long, role string, text string")
+        self.asked = handle.getValueState("asked", "text string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = {r[0]: tuple(r) for r in self.held.get()}
+        oldest = min(held, default=None)
+        for r in rows:
+            if oldest is None or r["turn"] > oldest or len(held) < self.n:
+                held.setdefault(r["turn"], (r["turn"], r["role"], r["text"]))
+        order = sorted(held.values())
+        asked = self.asked.get()[0] if self.asked.exists() else None
+        for turn, role, text in order[: -self.n]:
+            if role == "user":
+                asked = text
+            elif role == "assistant":
+                yield Row(conv_id=key[0], evicted=turn, user_text=asked, answer=text and text[: self.cut], turns=None, context=None)
+        order = order[-self.n :]
+        self.held.put(order)
+        if asked is not None:
+            self.asked.update((asked,))
+        context = "\n".join(f"{role.capitalize()}: {text}" for _, role, text in order if role and text is not None)
+        yield Row(conv_id=key[0], evicted=None, user_text=None, answer=None, turns=",".join(str(t) for t, *_ in order), context=context)
+
+    def close(self) -> None:
+        pass
+
+
+def memory(messages: DataFrame, n: int = 8, cut: int = 200) -> DataFrame:
+    """(conv_id, evicted, user_text, answer, turns, context) of messages (conv_id, turn, role, text) that come in order.
+
+    After each batch that brings some, a row with the turns and the text of a conversation's last n messages; and one for each
+    assistant message that falls out of them, with the user's words before it and its first `cut` characters, to be
+    summed up. A turn that comes twice counts once; state is a list of n messages and one text a conversation.
+    """
+    out = "conv_id long, evicted long, user_text string, answer string, turns string, context string"
+    rows = messages.select("conv_id", F.col("turn").cast("long"), "role", "text")
+    return rows.groupBy("conv_id").transformWithState(_Memory(n, cut), out, "update", "None")
+
+
+class _InOrder(StatefulProcessor):
+    """Rows (k, id, t, ts) of a key wait in state until the watermark has passed them; then step() sees them by time and id.
+
+    So the outcome doesn't depend on how rows were split and shuffled, if they aren't later than the watermark. One timer a key
+    wakes it for the next row that waits, or for the end of what is known.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t long, id long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(r["t"], r["id"]) for r in rows if r["id"] is not None]
+        if new:
+            self.waiting.appendList(new)
+        return self._release(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        return self._release(key, timerValues)
+
+    def _release(self, key, timerValues):
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(tuple(r) for r in self.waiting.get())
+        ready = [x for x in held if x[0] <= now]
+        if ready:
+            yield from self.step(key[0], ready)
+            self.waiting.put(held[len(ready) :]) if len(ready) < len(held) else self.waiting.clear()
+        ends = self.ends(now)
+        wake = min([x for x in (held[len(ready)][0] if len(ready) < len(held) else None, ends) if x is not None], default=None)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if wake is not None:
+            self.handle.registerTimer(-(-wake // 1000))
+
+    def close(self) -> None:
+        pass
+
+
+class _Limit(_InOrder):
+    def __init__(self, most: int, window_s: float) -> None:
+        self.most, self.window = most, int(window_s * 1e6)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.log = handle.getListState("log", "t long")
+
+    def step(self, key, ready):
+        log = deque(r[0] for r in self.log.get())
+        for t, event in ready:
+            ok, left, first = _admit(log, t, self.most, self.window)
+            yield Row(event_id=event, admitted=ok, remaining=left, reset_s=(first + self.window - t) / 1e6)
+        self.log.put([(t,) for t in log])
+
+    def ends(self, now):
+        last = max((r[0] for r in self.log.get()), default=None)
+        if last is not None and last + self.window <= now:
+            self.log.clear()
+            return None
+        return None if last is None else last + self.window
+
+
+class _Cache(_InOrder):
+    def __init__(self, ttl_s: float) -> None:
+        self.ttl = int(ttl_s * 1e6)
 
-    def update(key: tuple, frames, state: GroupState):
-        held = json.loads(state.get[0]) if state.exists else []
-        for f in frames:
-            held += f["turn"].tolist()
-        held = sorted(set(held))[-n:]
-        state.update((json.dumps(held),))
-        yield pd.DataFrame({"conv_id": [key[0]], "turns": [",".join(map(str, held))]})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.entry = handle.getValueState("entry", "id long, t long")
 
-    return messages.groupBy("conv_id").applyInPandasWithState(update, "conv_id long, turns string", "held string", "update", GroupStateTimeout.NoTimeout)
+    def step(self, key, ready):
+        entry = tuple(self.entry.get()) if self.entry.exists() else None
+        for t, event in ready:
+            hit = entry is not None and entry[1] + self.ttl > t
+            if not hit:
+                entry = (event, t)
+            yield Row(query_hash=key, event_id=event, entry_id=entry[0], hit=hit)
+        self.entry.update(entry)
 
+    def ends(self, now):
+        if not self.entry.exists():
+            return None
+        until = self.entry.get()[1] + self.ttl
+        if until <= now:
+            self.entry.clear()
+            return None
+        return until
 
-def sync(documents: DataFrame, apply: Callable[[DataFrame, int], None]) -> None:
+
+def _keyed(events: DataFrame, key: str, late: str) -> DataFrame:
+    rows = events.select(F.col(key).alias("k"), F.col("event_id").alias("id"), F.unix_micros("ts").alias("t"), "ts")
+    return rows.withWatermark("ts", late).groupBy("k")
+
+
+def cache_answers(events: DataFrame, key: str, ttl_s: float = 7 * 86400.0, late: str = "1 day") -> DataFrame:
+    """(query_hash, event_id, entry_id, hit): each question answered by the live entry of its hash, or admitted as the next one.
+
+    events: key, event_id, ts timestamp. An entry lives ttl_s seconds of event time from its admission; a question at its end or
+    later is a miss, and is admitted. Processing-time TTL would give other answers when a stream is replayed, so
+    entries end by event-time timers. Rows without event_id only move the watermark.
+    """
+    return _keyed(events, key, late).transformWithState(_Cache(ttl_s), "query_hash string, event_id long, entry_id long, hit boolean", "append", "EventTime")
+
+
+def rate_limit_stream(events: DataFrame, key: str, most: int, window_s: float, late: str = "1 day") -> DataFrame:
+    """rate_limit_audit() of a stream: rows (event_id, admitted, remaining, reset_s) come out once the watermark has passed them."""
+    return _keyed(events, key, late).transformWithState(_Limit(most, window_s), "event_id long, admitted boolean, remaining int, reset_s double", "append", "EventTime")
+
+
+def sync(documents: DataFrame, apply: Callable[[DataFrame, int], None], folder: str | None = None) -> None:
     """Hand each batch of new documents to `apply` with its number; a replayed number must change nothing."""
-    folder = work_dir(documents.sparkSession)
+    folder = folder or work_dir(documents.sparkSession, "sync")
     documents.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(apply).start().awaitTermination()
 
 
+def _admit(log: deque, t: int, most: int, window: int) -> tuple[bool, int, int]:
+    """Whether an event at t is admitted, how many more would be, and the oldest stamp that counts; the log keeps admitted ones only."""
+    while log and log[0] <= t - window:
+        log.popleft()
+    ok = len(log) < most
+    if ok:
+        log.append(t)
+    return ok, most - len(log), log[0] if log else t
+
+
 def rate_limit_audit(events: DataFrame, key: str, most: int, window_s: float) -> DataFrame:
     """(event_id, admitted, remaining, reset_s): a sliding log per key in which only admitted events are kept.
 
     Rows come sorted by key and time and pass through once; a task holds the stamps of one key, `most` of them.
     """
-    stamped = events.select("event_id", F.col(key).alias("k"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    stamped = events.select("event_id", F.col(key).alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    window = int(window_s * 1e6)
 
     def run(batches):
         key, log = object(), deque()
@@ -93,12 +258,8 @@ def rate_limit_audit(events: DataFrame, key: str, most: int, window_s: float) ->
             for event, k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key:
                     key, log = k, deque()
-                while log and log[0] <= t - window_s:
-                    log.popleft()
-                ok = len(log) < most
-                if ok:
-                    log.append(t)
-                out.append((event, ok, most - len(log), log[0] + window_s - t))
+                ok, left, first = _admit(log, t, most, window)
+                out.append((event, ok, left, (first + window - t) / 1e6))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.bool_(), pa.int32(), pa.float64()), strict=True)], ["event_id", "admitted", "remaining", "reset_s"])
 
