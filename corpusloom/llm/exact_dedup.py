@@ -56,7 +56,7 @@ class DigestIndex:
         the batch, which alone is dealt.
         """
         first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "batch")).alias("first")
-        parts = rows.groupBy("digest", "salt").agg(first)
+        parts = stored(rows.groupBy("digest", "salt").agg(first))  # stored, as the join would else be moved below the aggregation
         batch = parts.repartition(self.buckets, "digest").groupBy("digest").agg(F.min("first").alias("first"))
         new = batch.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
         new.select("digest", "first.id", "first.batch", "first.row").write.insertInto(self.name)
