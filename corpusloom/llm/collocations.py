@@ -16,6 +16,8 @@ from .common import checkpoint, maybe_broadcast, stored, table
 LONGEST, LEAST, COVERED, FIRST = 3, 10, 50, 2000
 #: Words that a worker counts together, and distinct words it numbers before it starts anew.
 FLUSH, NUMBERED = 1 << 22, 1 << 20
+#: Documents sampled for nodes that hold more than a WIDEth of all edges, and tasks that such a node is dealt to.
+SAMPLE, WIDE, SALTS = 5000, 2000, 64
 #: Grams of an Arrow batch, and edges of a row of a compacted path.
 OUT_ROWS, PATH = 20_000, 1024
 _MARKS = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -35,7 +37,7 @@ def pieces(text: str | None) -> list[list[bytes]]:
 
 
 def _grams(longest: int):
-    """(lang, gram, words, n): at each word the longest gram that starts there, so near a piece's end a shorter one."""
+    """(lang, gram, n): at each word the edge that starts there, the longest gram; near a piece's end a node alone, or a shorter gram."""
 
     def counted(streams: dict[str, array], numbers: _Numbers):
         words = pa.array(list(numbers), pa.binary()).cast(pa.string())
@@ -54,9 +56,8 @@ def _grams(longest: int):
             for a in range(0, len(at), OUT_ROWS):
                 some = [c[at[a : a + OUT_ROWS]] for c in cols]
                 texts = [words.take(pa.array(c - 1, mask=c == 0)) for c in some]
-                size = sum((c > 0).astype(np.int8) for c in some)
                 gram = pc.binary_join_element_wise(*texts, " ", null_handling="skip")
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(size)), gram, pa.array(size, pa.int8()), pa.array(n[a : a + OUT_ROWS], pa.int64())], ["lang", "gram", "words", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), gram, pa.array(n[a : a + OUT_ROWS], pa.int64())], ["lang", "gram", "n"])
 
     def run(batches):
         streams, numbers, held = {}, _Numbers(), 0
@@ -82,20 +83,45 @@ def part(gram: Column | str, first: int) -> Column:
     return F.substring_index(gram, " ", first)
 
 
+def words(gram: Column | str) -> Column:
+    """How many words a gram has; a space stands between each two."""
+    return (F.length(gram) - F.length(F.replace(gram, F.lit(" "))) + 1).cast("tinyint")
+
+
+def _wide(grams: DataFrame, longest: int) -> DataFrame:
+    """(lang, node, wide): nodes with more than a WIDEth of all edges that a task has counted, WIDE of them at most."""
+    nodes = stored(grams.groupBy("lang", part("gram", longest - 1).alias("node")).agg(F.count(F.lit(1)).alias("n")))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    found = nodes.where(F.col("n") * WIDE > total).select("lang", "node").collect()
+    return grams.sparkSession.createDataFrame([(*r, True) for r in found], "lang string, node string, wide boolean")
+
+
 def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, gram, words, n): all words, and the grams of 2 to `longest` words that stand `least` times or more.
 
-    Edges, the grams of `longest` words, are aggregated once over all texts. A node's count is its flow: what leaves it by
-    edges, plus the pieces that end in it. So each level is summed from the one above; edges that are frequent go along.
+    Edges, the grams of `longest` words, are aggregated over all texts and are dealt once, by the node they leave, so that a node's
+    flow is summed where its edges are: what leaves it by edges, plus the pieces that end in it. Each level is summed
+    from the one above; grams that are frequent go along. Nodes that very many edges leave are dealt by edge to SALTS tasks and
+    meet on the next level; a sample of texts says which ones, which decides nothing but the tasks' sizes.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    held = texts.mapInArrow(_grams(longest), "lang string, gram string, words tinyint, n long").groupBy("lang", "gram", "words").agg(F.sum("n").alias("n"))
-    for size in range(longest, 1, -1):
-        row = lambda gram, words: F.struct(gram.alias("gram"), words.cast("tinyint").alias("words"), F.col("n").alias("n"))
-        whole, node = row(F.col("gram"), F.col("words")), row(part("gram", size - 1), F.lit(size - 1))
-        level = F.when((F.col("words") == size) & (F.col("n") >= least), F.array(whole, node)).when(F.col("words") == size, F.array(node)).otherwise(F.array(whole))
-        held = held.select("lang", F.explode(level).alias("e")).select("lang", "e.*").groupBy("lang", "gram", "words").agg(F.sum("n").alias("n"))
-    return held
+    grams = lambda df: df.mapInArrow(_grams(longest), "lang string, gram string, n long")
+    wide = _wide(grams(texts.sample(min(1.0, SAMPLE / max(1, docs.count())), seed=7)), longest)
+    node = part("gram", longest - 1)  # of a shorter gram itself
+    told = grams(texts).join(F.broadcast(wide.withColumnRenamed("lang", "its")), (F.col("lang") == F.col("its")) & (node == F.col("node")), "left")
+    salt = F.when(F.col("wide"), F.pmod(F.xxhash64("gram"), F.lit(SALTS))).otherwise(-1).cast("int")
+    dealt = told.select("lang", "gram", "n", salt.alias("salt")).repartition("lang", node, "salt")
+    edges = dealt.withColumn("node", node).groupBy("lang", "node", "salt", "gram").agg(F.sum("n").alias("n"))
+    row = lambda gram, words: F.struct(gram.alias("gram"), words.cast("tinyint").alias("words"), F.col("n").alias("n"))
+    of_node = row(F.col("node"), words("node"))
+    level = F.when((F.col("gram") != F.col("node")) & (F.col("n") >= least), F.array(row(F.col("gram"), F.lit(longest)), of_node)).otherwise(F.array(of_node))
+    held = edges.select("lang", "node", "salt", F.explode(level).alias("e")).select("lang", "node", "salt", "e.*").groupBy("lang", "node", "salt", "gram", "words").agg(F.sum("n").alias("n"))
+    for size in range(longest - 1, 1, -1):
+        whole, first = row(F.col("gram"), F.col("words")), row(part("gram", size - 1), F.lit(size - 1))
+        frequent = (F.col("n") >= least) | (F.col("salt") >= 0)
+        level = F.when((F.col("words") == size) & frequent, F.array(whole, first)).when(F.col("words") == size, F.array(first)).otherwise(F.array(whole))
+        held = held.select("lang", F.explode(level).alias("e")).select("lang", "e.*").groupBy("lang", "gram", "words").agg(F.sum("n").alias("n")).withColumn("salt", F.lit(-1))
+    return held.groupBy("lang", "gram", "words").agg(F.sum("n").alias("n")) if longest == 2 else held.drop("salt")
 
 
 def paths(grams: DataFrame, longest: int = LONGEST) -> DataFrame:
@@ -131,13 +157,19 @@ def compacted(found: DataFrame) -> DataFrame:
     return found.groupBy("lang", "path", block.alias("block")).agg(F.max("n").alias("n"), F.array_join(words, " ").alias("text"))
 
 
+def score(a: str, left: str, right: str) -> Column:
+    """floor(1000000 * a * a / (l * r)) of columns of whole numbers below 10**15, whose products take up to 38 digits."""
+    wide = lambda c: f"CAST({c} AS DECIMAL(15,0))"
+    return F.expr(f"(CAST(1000000 AS DECIMAL(7,0)) * ({wide(a)} * {wide(a)})) div ({wide(left)} * {wide(right)})")
+
+
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, covered: int = COVERED, first: int = FIRST) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first phrases of 2 to `longest` words.
 
     docs: text, lang. A phrase that stands `least` times is scored at its weakest cut; one that lies in a longer
     candidate with `covered` % of its occurrences or more is dropped. Nodes inside a unary path have the path's own count, so
     they are dropped without a look; the nodes at its ends ask the path's first and last edge. Products are decimals
-    of 38 digits, exact up to counts of 10**16.
+    of 38 digits, exact for counts below 10**15.
     Null texts are empty; null languages are `und`; texts are read whole; repeated rows count each; an empty table gives
     no rows; other columns, and their names, play no part.
     """
@@ -158,9 +190,8 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, co
     known = stored(grams.where(F.col("n") >= least).select("lang", "gram", "n"))
     rows = known.count()
     of = lambda side, name: maybe_broadcast(known.select("lang", F.col("gram").alias(side), F.col("n").alias(name)), rows, 64)
-    wide = lambda c: F.col(c).cast("decimal(16,0)")
     measured = cuts.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"])
-    measured = measured.withColumn("p", F.lit(1_000_000).cast("decimal(7,0)") * (wide("a") * wide("a"))).withColumn("q", wide("l") * wide("r")).withColumn("score", F.expr("p div q"))
+    measured = measured.withColumn("score", score("a", "l", "r"))
     weakest = measured.groupBy("lang", "gram", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("w"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = weakest.select("lang", F.col("gram").alias("phrase"), "a", "w.l", "w.r", "w.score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
