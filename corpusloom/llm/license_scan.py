@@ -1,4 +1,4 @@
-"""Positional rare-token index over licence notices: anchors of highest IDF, postings intersected by relative position, key phrases verified."""
+"""Positional rare-token index over licence notices: a file's rarest licence words are looked up, places intersected, key phrases verified."""
 
 from __future__ import annotations
 
@@ -48,10 +48,9 @@ NOTICES = (
     ("reserved", "all rights reserved", "all rights reserved"),
 )
 
-#: Anchors of a notice: its words of highest IDF. Two must agree on the shift, or one where a notice has no more.
-ANCHORS = 4
-#: Share of a notice's words that must stand in their aligned places, or up to SLACK words beside them, as words may be put in or left out.
-COVER, SLACK = 0.6, 2
+#: Share of a notice's words that must stand in their order around its key phrase, and words beside as many as the notice has on
+#: a side that may stand between them there.
+COVER, BETWEEN = 0.6, 16
 
 _TO_SPACE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -65,9 +64,14 @@ def split(text: str | None) -> list[bytes]:
     return [w for w in words(text) if w]
 
 
-_NOTICES = [(label, notice.encode().split(), key.encode().split()) for label, notice, key in NOTICES]
+def _place(notice: list[bytes], key: list[bytes]) -> int:
+    return next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
+
+
+#: (label, words, key phrase, its place).
+_NOTICES = [(label, ws, key, _place(ws, key)) for label, ws, key in ((label, notice.encode().split(), key.encode().split()) for label, notice, key in NOTICES)]
 _BASE = [(phrase.encode().split(), label) for phrase, label in BASE.items()]
-VOCABULARY = frozenset(w for _, ws, _ in _NOTICES for w in ws) | {w for ws, _ in _BASE for w in ws}
+VOCABULARY = frozenset(w for _, ws, *_ in _NOTICES for w in ws) | {w for ws, _ in _BASE for w in ws}
 
 
 def _count(batches):
@@ -90,31 +94,67 @@ def idf(docs: DataFrame) -> dict[bytes, float]:
     return {w: math.log((n + 1) / (counts.get(w, 0) + 1)) for w in VOCABULARY}
 
 
-def build_index(weights: dict[bytes, float]) -> dict[bytes, list[tuple[int, int]]]:
-    """Postings word -> (notice, position) of the notices' anchors."""
+Index = tuple[dict[bytes, list[tuple[int, int]]], dict[bytes, float]]
+
+
+def build_index(weights: dict[bytes, float]) -> Index:
+    """Postings word -> (notice, place in its key phrase), and the words' IDF. No notice counts without its key phrase, so no other words are posted."""
     index = defaultdict(list)
-    for i, (_, ws, _) in enumerate(_NOTICES):
-        for w in sorted(set(ws), key=lambda w: (-weights[w], w))[:ANCHORS]:
-            index[w] += [(i, p) for p, x in enumerate(ws) if x == w]
-    return dict(index)
-
-
-def match(ws: list[bytes], at: list[int], index: dict[bytes, list[tuple[int, int]]]) -> tuple[set[str], float]:
-    """Labels of verified notices and the best share of a notice's words in place. at: positions of vocabulary words."""
-    votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-    for p in at:
-        for i, q in index.get(ws[p], ()):
-            votes[i, p - q].add(ws[p])
+    for i, (_, _, key, _) in enumerate(_NOTICES):
+        for q, w in enumerate(key):
+            index[w].append((i, q))
+    return dict(index), weights
+
+
+def rare_places(ws: list[bytes], at: list[int], weights: dict[bytes, float]) -> list[int]:
+    """Of each two licence words that stand side by side, the place of the rarer one, the first of equals; at: places of licence words.
+
+    As a key phrase has two words at least, each place where one stands keeps a word of it, whatever stands around.
+    """
+    kept = {p if weights[ws[p]] >= weights[ws[q]] else q for p, q in zip(at, at[1:]) if q == p + 1}
+    return sorted(kept)
+
+
+def _masks(part: list[bytes]) -> dict[bytes, int]:
+    masks = defaultdict(int)
+    for i, w in enumerate(part):
+        masks[w] |= 1 << i
+    return dict(masks)
+
+
+#: Of each notice the words before its key phrase, backwards, and those after it, as bits by word.
+_SIDES = [((_masks(ws[:k][::-1]), k), (_masks(ws[k + len(key) :]), len(ws) - k - len(key))) for _, ws, key, k in _NOTICES]
+
+
+def in_order(masks: dict[bytes, int], n: int, window: list[bytes]) -> int:
+    """How many of a part's n words stand in the window in their order: the longest common subsequence, a bit for each word."""
+    full = (1 << n) - 1
+    open_ = full
+    for w in window:
+        hit = open_ & masks.get(w, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & full
+    return n - open_.bit_count()
+
+
+def match(ws: list[bytes], at: list[int], index: Index) -> tuple[set[str], float]:
+    """Labels of verified notices and the best share of a notice's words in order. at: places of licence words.
+
+    Postings of the rarest words agree on where key phrases would start; where one stands whole, the notice is aligned
+    on both sides of it.
+    """
+    postings, weights = index
+    starts = {(i, p - q) for p in rare_places(ws, at, weights) for i, q in postings.get(ws[p], ())}
     labels, best = set(), 0.0
-    for (i, shift), agreed in votes.items():
-        label, notice, key = _NOTICES[i]
-        if len(agreed) < min(2, len(set(notice))):
+    for i, p in starts:
+        label, notice, key, k = _NOTICES[i]
+        if p < 0 or ws[p : p + len(key)] != key:
             continue
-        cover = sum(w in ws[max(0, shift + q - SLACK) : shift + q + SLACK + 1] for q, w in enumerate(notice)) / len(notice)
-        lo, hi = max(0, shift - SLACK), shift + SLACK + len(notice)
-        if cover >= COVER and any(ws[p : p + len(key)] == key for p in range(lo, hi - len(key) + 1)):
+        (before, n), (after, m) = _SIDES[i]
+        end = p + len(key)
+        found = len(key) + in_order(before, n, ws[max(0, p - 2 * n - BETWEEN) : p][::-1] if n else []) + in_order(after, m, ws[end : end + 2 * m + BETWEEN] if m else [])
+        if found >= COVER * len(notice):
             labels.add(label)
-            best = max(best, cover)
+            best = max(best, found / len(notice))
     return labels, best
 
 
@@ -122,7 +162,7 @@ def base_places(ws: list[bytes], at: list[int]) -> list[tuple[int, str]]:
     return [(p, label) for p in at for phrase, label in _BASE if ws[p] == phrase[0] and ws[p : p + len(phrase)] == phrase]
 
 
-def scan_text(text: str | None, index: dict) -> tuple:
+def scan_text(text: str | None, index: Index) -> tuple:
     ws = split(text)
     at = [p for p, w in enumerate(ws) if w in VOCABULARY]
     places = base_places(ws, at)

@@ -1,6 +1,7 @@
 """Secrets, licences, languages and toxicity against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -116,6 +117,74 @@ def test_license_notices_with_words_put_in_or_left_out():
     assert license_scan.scan_text(" ".join(sorted(apache)), index)[5] == ""
 
 
+def brute_notices(text):
+    """Every place of every key phrase, and the longest common subsequences on both sides by the plain table."""
+    ws = license_scan.split(text)
+    labels, best = set(), 0.0
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    for label, notice, key in license_scan.NOTICES:
+        notice, key = notice.encode().split(), key.encode().split()
+        k = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
+        before, after = notice[:k], notice[k + len(key) :]
+        for p in range(len(ws) - len(key) + 1):
+            if ws[p : p + len(key)] == key:
+                end = p + len(key)
+                found = len(key) + common(before, ws[max(0, p - 2 * len(before) - 16) : p] if before else []) + common(after, ws[end : end + 2 * len(after) + 16])
+                if found >= 0.6 * len(notice):
+                    labels.add(label)
+                    best = max(best, found / len(notice))
+    return labels, best
+
+
+def test_labels_and_scores_of_whole_table(spark, sf, texts):
+    got = {r["doc_id"]: r for r in license_scan.op6_licenses(spark, sf).collect()}
+    for d, t, _ in texts:
+        labels, score = brute_notices(t)
+        assert set(filter(None, got[d]["labels"].split(","))) == labels | set(filter(None, got[d]["base_labels"].split(",")))
+        assert got[d]["score"] == score
+
+
+def put_in(notice, key, spots, words):
+    """The notice with words put in at spots outside its key phrase; of its own words those from rest on are kept."""
+    k = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
+    places = [i for i in range(len(notice) + 1) if not k < i < k + len(key)]
+    out = list(notice)
+    for i, spot in enumerate(sorted((places[s % len(places)] for s in spots), reverse=True)):
+        out[spot:spot] = words[i % len(words)]
+    return out
+
+
+@pytest.mark.parametrize("rare", ["alike", "by frequency"])
+def test_no_words_put_in_or_left_out_hide_a_notice(rare):
+    """k words at one spot, single words at m spots, licence words among them, and up to 40 % left out in order: all found."""
+    rng = random.Random(5)
+    common = "the of to and a is in this for any that with by or not".encode().split()
+    weights = {w: 0.5 if w in common and rare != "alike" else 3.0 + len(w) / 100 for w in license_scan.VOCABULARY}
+    index = license_scan.build_index(weights)
+    licence = sorted(license_scan.VOCABULARY)
+    for label, notice, key in license_scan.NOTICES:
+        notice, key = notice.encode().split(), key.encode().split()
+        for trial in range(12):
+            k, m = rng.choice([1, 2, 3, 5, 8, 12]), rng.choice([2, 4, 6, 10, 14])
+            word = lambda: rng.choice([b"zz%d" % rng.randrange(99), rng.choice(licence)])
+            texts = [put_in(notice, key, [rng.randrange(99)], [[word() for _ in range(k)]]), put_in(notice, key, [rng.randrange(99) for _ in range(m)], [[word()] for _ in range(m)])]
+            at = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
+            others = [i for i in range(len(notice)) if not at <= i < at + len(key)]
+            gone = set(rng.sample(others, min(len(others), int(0.4 * len(notice)))))
+            texts.append([w for i, w in enumerate(notice) if i not in gone])
+            for text in texts:
+                whole = b" ".join([b"x"] * 5 + text + [b"y"] * 5).decode()
+                assert label in license_scan.scan_text(whole, index)[5].split(","), (label, whole)
+
+
 def test_each_paragraph_of_a_licence_is_found_alone():
     index = license_scan.build_index(dict.fromkeys(license_scan.VOCABULARY, 1.0))
     for label, notice, key in license_scan.NOTICES:
