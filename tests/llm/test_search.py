@@ -1,8 +1,10 @@
 """Nearest neighbours and decontamination against brute force, and the pipeline as a whole."""
 
 import itertools
+import math
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -77,6 +79,61 @@ def test_the_exact_way_finds_all(spark, monkeypatch):
     assert got == brute_nearest(rows)
 
 
+@pytest.mark.parametrize("length", [10.0, 1e3, 1e5, 1e10, 1e200])
+def test_one_long_vector_hides_nothing(spark, monkeypatch, length):
+    """With graphs: blocks of 64 vectors, so bands of more than 256 have one."""
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    x = np.random.default_rng(7).normal(size=(2000, 32))
+    x[11] *= length / np.linalg.norm(x[11])
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert len(found) == 2000 and recall(found, brute_nearest(rows)) >= 0.9
+
+
+def test_norms_of_many_sizes(spark, monkeypatch):
+    """Norms over ten powers of ten, a band each for every factor of two."""
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 8)) * 10.0 ** rng.integers(0, 3, size=(1500, 1))
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert recall(found, brute_nearest(rows)) >= 0.9
+
+
+@pytest.mark.parametrize("size", [1e-200, 1e-320, 1e150, 1e200])
+def test_very_small_and_very_large_numbers(spark, size):
+    """Scores are the doubles that the products give: 0 and ties below their range, infinity above it."""
+    x = np.random.default_rng(9).normal(size=(60, 4))
+    x[x == 0] = 1
+    rows = [(i, [float(n) for n in v]) for i, v in enumerate((np.sign(x) * np.maximum(np.abs(x), 0.5)) * size)]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert len(found) == 60
+    got = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q, mine in got.items():
+        def total(v):
+            s = 0.0
+            for a, b in zip(rows[q][1], v):
+                with np.errstate(all="ignore"):
+                    s = s + a * b
+            return s
+        order = sorted(((math.isnan(s), -s if not math.isnan(s) else 0.0, i, s) for i, v in rows if i != q for s in [total(v)]))[:20]
+        assert [i for i, _ in mine] == [i for *_, i, _ in order], (q, mine, order)
+        assert all(a == b or math.isnan(a) and math.isnan(b) for (_, a), (*_, b) in zip(mine, order))
+
+
+def test_long_and_normal_vectors_together(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(200, 4)).tolist())] + [(200, [1e200, 0.0, 0.0, 0.0]), (201, [0.0, 1e-200, 0.0, 0.0]), (220, [0.0, -1e180, 0.0, 1.0])]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert {r["query_id"] for r in found} == {i for i, _ in rows if i % 20 == 0} and len(found) == 20 * 12
+    first = {r["query_id"]: r["vec_id"] for r in found if r["rank"] == 1}
+    for i, v in rows:
+        if i % 20 == 0 and i < 200:
+            assert first[i] == (200 if v[0] > 0 else 220 if v[1] < 0 else first[i])
+
+
 def test_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
