@@ -124,11 +124,12 @@ class Index:
     def retrieve(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, float]]:
         """(document, first word of the passage, item, score) of all that reach 1. docs: numbers of words, -1 for others.
 
-        Block-max WAND with a threshold that stays: a passage's terms are ordered by their greatest weights, and those up to
-        the pivot, whose greatest weights together stay under 1, can retrieve nothing alone. So blocks are found through
-        the lists from the pivot on only. Such a block is looked at when its maxima there and all greatest weights before the
-        pivot reach 1, is opened when the maxima in all lists do, and only then are its items scored. As the threshold doesn't
-        rise, the order of blocks doesn't matter, and many passages take each step together.
+        Block-max pruning as WAND does it, with the split of terms that MaxScore makes in place of WAND's pivot among cursors: the
+        threshold is fixed, so nothing is won by walking items in order, and many passages take each step together. A
+        passage's terms are ordered by their greatest weights; the first ones, whose greatest weights together stay under 1, can
+        retrieve nothing alone. So blocks are found through the other terms' lists only. Such a block is looked at when its
+        maxima there and all greatest weights of the first terms reach 1, is opened when the maxima in all lists do, and
+        only then are its items scored.
         """
         s, terms, blocks = self.stride, len(self.vocabulary), len(self.ids) // BLOCK + 1
         windows = [max(1, -(-len(ws) // s) - 1) for ws in docs]
@@ -225,7 +226,7 @@ def in_order(ws: np.ndarray, passage: np.ndarray, question: int) -> tuple[int, i
 
 
 def indexes(items: DataFrame):
-    """Index parts one by one, by length in each; document frequencies and the mean length are those of all items. items: item_id, text."""
+    """Parts one by one, each a list of indexes by length; document frequencies and the mean length are those of all items. items: item_id, text."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [(w, len(ws) if k == 0 else 0, int(k == 0)) for ws in map(split, batch.column(1).to_pylist()) if ws for k, w in enumerate(sorted(set(ws)))]
@@ -246,8 +247,7 @@ def indexes(items: DataFrame):
         for r in mine.toLocalIterator():
             if length := len(split(r["text"])):
                 classes[max(0, (length - 1) // (PASSAGE // 2)).bit_length()].append((r["item_id"], r["text"]))
-        for _, rows in sorted(classes.items()):
-            yield Index(rows, found, n, total / n)
+        yield [Index(rows, found, n, total / n) for _, rows in sorted(classes.items())]
 
 
 _FOUND = "array<struct<item_id:bigint,score:double,overlap:double>>"
@@ -262,21 +262,28 @@ def annotate(df: DataFrame, items: DataFrame, text: str = "text", to: str = "fou
     """
     df = df.withColumn(to, F.array().cast(_FOUND))
     struct = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())]))
-    for index in indexes(items):
-        shared = df.sparkSession.sparkContext.broadcast(index)
+    for part in indexes(items):
+        shared = df.sparkSession.sparkContext.broadcast(part)
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            index, before = shared.value, batch.column(to).to_pylist()
+            part, before = shared.value, batch.column(to).to_pylist()
             rows, waiting, n = [], [], 0
+
+            def ask():
+                found = [[] for _ in waiting]
+                for index in part:
+                    for mine, r in zip(found, index.find(waiting), strict=True):
+                        mine += [{"item_id": index.ids[i], "score": s, "overlap": o} for i, (s, o) in sorted(r.items())]
+                rows.extend(found)
+
             for t in batch.column(text):
                 waiting.append(split(t.as_py()))
                 n += len(waiting[-1])
                 if n >= CHUNK_WORDS:
-                    rows += index.find(waiting)
+                    ask()
                     waiting, n = [], 0
-            rows += index.find(waiting)
-            found = [a + [{"item_id": index.ids[i], "score": s, "overlap": o} for i, (s, o) in sorted(r.items())] for a, r in zip(before, rows, strict=True)]
-            return batch.set_column(batch.schema.names.index(to), to, pa.array(found, struct))
+            ask()
+            return batch.set_column(batch.schema.names.index(to), to, pa.array([a + b for a, b in zip(before, rows, strict=True)], struct))
 
         df = df.mapInArrow(per_batch(run), df.schema)
     return df
