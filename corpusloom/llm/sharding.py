@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import fresh, stored, table
 
 SHARDS, RACKS_PER_REGION, SHARDS_PER_RACK = 16, 2, 4
 #: Rows that are ranked in one task when slots are given, on average.
@@ -50,37 +50,40 @@ def assign(df: DataFrame, shards: int = SHARDS, key: str = "doc_id", weights: di
     or out of, the changed rack alone; and rows that stay elsewhere keep their racks and shards. A shard that forms a
     new region only takes rows into itself. Shards of weight 0 get nothing; one at least must weigh more.
 
-    Null keys hash like any value and share one shard; repeated keys land together; an empty table stays empty. Columns that
-    start with `__tree_` are ours meanwhile.
+    Null keys hash like any value and share one shard; repeated keys land together; an empty table stays empty; other columns
+    stay, whatever their names. From 16 to 17 shards the new one is a region of its own; from 17 to 18 that region's weight rises, and
+    rows enter shard 16 as well, so law `key` holds where a shard is added as a new region.
     """
     weight = lambda s: (weights or {}).get(s, 1.0)
     regions = tree(shards, racks_per_region, shards_per_rack)
     heavy = lambda nodes: sum(weight(s) for s in nodes)
     racks = {r: {rack[0] // shards_per_rack: rack for rack in region if heavy(rack) > 0} for r, region in enumerate(regions)}
     racks = {r: inside for r, inside in racks.items() if inside}
-    k = F.col(key)
+    k, at_region, at_rack = F.col(key), fresh(df, "__region"), fresh(df, "__rack")
     region = _choose(k, "region", [(r, sum(map(heavy, inside.values()))) for r, inside in racks.items()])
-    rack = _below(F.col("__tree_region"), {r: _choose(k, "rack", [(n, heavy(rack)) for n, rack in inside.items()]) for r, inside in racks.items()})
+    rack = _below(F.col(at_region), {r: _choose(k, "rack", [(n, heavy(rack)) for n, rack in inside.items()]) for r, inside in racks.items()})
     leaves = {n: [(s, weight(s)) for s in rack if weight(s) > 0] for inside in racks.values() for n, rack in inside.items()}
-    shard = _below(F.col("__tree_rack"), {n: _choose(k, "shard", found) for n, found in leaves.items()})
-    placed = df.withColumn("__tree_region", region).withColumn("__tree_rack", rack).withColumn(to, shard.cast("int"))
-    return placed.drop("__tree_region", "__tree_rack")
+    shard = _below(F.col(at_rack), {n: _choose(k, "shard", found) for n, found in leaves.items()})
+    placed = df.withColumn(at_region, region).withColumn(at_rack, rack).withColumn(to, shard.cast("int"))
+    return placed.drop(at_region, at_rack)
 
 
 def number(df: DataFrame, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """Add `slot`, gapless from 0 in each shard, without ranking a whole shard in one task, whatever its keys.
 
     The rows are written once with a number of their own, whose hash deals each shard into units; the units' counts give
-    offsets, and rows are ranked inside their unit. A key that many rows repeat is dealt like any others.
+    offsets, and rows are ranked inside their unit. A key that many rows repeat is dealt like any others. A column `slot` is
+    replaced; all others stay, whatever their names.
     """
-    kept = stored(df.withColumn("__row", F.monotonically_increasing_id()))
+    row, unit, n, start, rank = (fresh(df, name) for name in ("__row", "__unit", "__n", "__from", "__rank"))
+    kept = stored(df.withColumn(row, F.monotonically_increasing_id()))
     units = max(1, -(-kept.count() // unit_rows))
-    kept = kept.withColumn("__unit", F.pmod(F.xxhash64("__row"), F.lit(units)))
-    sizes = kept.groupBy("shard", "__unit").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__unit").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "__unit", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
-    ranked = kept.withColumn("__rank", F.row_number().over(Window.partitionBy("shard", "__unit").orderBy("__row")) - 1)
-    return ranked.join(offsets, ["shard", "__unit"]).withColumn("slot", (F.col("__from") + F.col("__rank")).cast("long")).drop("__row", "__unit", "__rank", "__from")
+    kept = kept.withColumn(unit, F.pmod(F.xxhash64(row), F.lit(units)))
+    sizes = kept.groupBy("shard", unit).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy("shard").orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("shard", unit, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    ranked = kept.withColumn(rank, F.row_number().over(Window.partitionBy("shard", unit).orderBy(row)) - 1)
+    return ranked.join(offsets, ["shard", unit]).withColumn("slot", (F.col(start) + F.col(rank)).cast("long")).drop(row, unit, rank, start)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,22 @@ def test_sharding_awkward_rows(edge, nothing):
     assert sharding.assign(nothing).count() == 0
 
 
+def test_sharding_keeps_columns_of_its_own_names(spark):
+    df = spark.range(40).withColumnRenamed("id", "doc_id")
+    clash = {c: F.concat(F.lit(c), "doc_id") for c in ("__row", "__unit", "__n", "__from", "__rank", "__region", "__rack")}
+    rows = sharding.number(sharding.assign(df.withColumns(clash)), 10).collect()
+    assert len(rows) == 40 and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in clash)
+    plain = {r["doc_id"]: r["shard"] for r in sharding.assign(df).collect()}
+    assert {r["doc_id"]: r["shard"] for r in rows} == plain
+
+
+def test_packing_and_order_of_clashing_names(spark):
+    df = spark.createDataFrame([(i, "text " * i) for i in range(20)], "doc_id long, text string")
+    clash = df.withColumns({c: F.lit("x") for c in ("slot", "place", "task", "local", "length", "n", "row", "seq", "ids")})
+    assert sorted(map(tuple, packing.pack(clash).select("doc_id", "piece", "length").collect())) == sorted(map(tuple, packing.pack(df).select("doc_id", "piece", "length").collect()))
+    assert training_order.training_order(clash).select("doc_id", "n_tokens").exceptAll(training_order.training_order(df).select("doc_id", "n_tokens")).count() == 0
+
+
 LETTERS = st.text(alphabet=st.characters(max_codepoint=0x24F, exclude_categories=("Cs",)), max_size=80)
 
 
