@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.operators import analytics, chunking, evaluate, lexical_index, models, retrieval, vectors
+from corpusloom.operators import analytics, evaluate, lexical_index, models, retrieval, vectors
 from corpusloom.plans.base import load
 from corpusloom.sources import files
 from corpusloom.sources.workspace import work_dir
