@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources import workspace
+
 #: What may be broadcast, in bytes of its columns; beyond it joins shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -31,13 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that all executors share, as workspace.shared_dir() finds it."""
     _small_batches(spark)
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return workspace.shared_dir(spark)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -49,12 +46,39 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
-    """Write a frame as Parquet into the shared folder and read it back: columnar, compressed, and safe from lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    """Write a frame as Parquet into the shared folder and read it back: columnar, compressed, and safe from lost executors.
+
+    The files go when the application ends.
+    """
+    path = work_dir(df.sparkSession, "stored")
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
+    _small_batches(spark)
+    return workspace.work_dir(spark, name)
+
+
+def stored_by_task(df: DataFrame) -> DataFrame:
+    """stored(), with `task`, the number of the task that wrote a row, as its bucket: nothing is dealt for that.
+
+    Rows told by (task, row), where row is what monotonically_increasing_id() gave them, then join these where they lie, so wide rows don't move
+    however many of them are asked for; on_task() puts `task` beside such a row number.
+    """
+    spark = df.sparkSession
+    path, name = work_dir(spark, "by-task"), f"by_task_{uuid.uuid4().hex}"
+    rows = df.withColumn("task", F.spark_partition_id())
+    rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "task").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def on_task(df: DataFrame, row: str) -> DataFrame:
+    """df with `task`, where the row with that number was written, to be sent to the rows of stored_by_task() and hashed there."""
+    return df.withColumn("task", F.shiftright(row, 33).cast("int")).hint("shuffle_hash")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df hasn't, in any case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import checkpoint, maybe_broadcast, per_batch, stored, table
+from .common import checkpoint, maybe_broadcast, on_task, per_batch, stored, stored_by_task, table
 from .words import SHINGLE, shingles
 
 #: 32 bands of 4 minima: a pair of similarity 0.75 misses every band with probability 5e-6.
@@ -67,12 +67,12 @@ def signatures(docs: DataFrame, whole: bool = False) -> DataFrame:
     """One row per document: row (a unique number), doc_id, text, n_shingles, set_key (128-bit digest of the shingle set), bands (64-bit keys).
 
     With whole, also a struct `rest` of all columns but text, which keeps their names apart from these. The table is written
-    once, so the numbers stay the same for all who read it.
+    once, so the numbers stay the same for all who read it, with the writing task as bucket, so that its texts needn't move.
     """
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")] if whole else []
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
     new = [StructField("n_shingles", LongType()), StructField("set_key", BinaryType()), StructField("bands", ArrayType(LongType()))]
-    return stored(rows.mapInArrow(per_batch(_sign), StructType([*rows.schema.fields, *new])))
+    return stored_by_task(rows.mapInArrow(per_batch(_sign), StructType([*rows.schema.fields, *new])))
 
 
 def _compare(with_rest: bool):
@@ -106,7 +106,8 @@ def compare(pairs: DataFrame, texts: DataFrame, with_rest: bool = False) -> Data
     A hub's text is sent once for CHUNK of its members, not once a pair, and its members stream past it, so no group is held.
     texts: row, text.
     """
-    many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    # a table of its own, so that Spark can split the other side of the join where one hub has many rows
+    many = stored(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))
     members = pairs.join(many, "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("kind"), "rep")
     hubs = many.select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"), F.col("hub").alias("rep"))
     told = members.unionByName(hubs).join(texts.withColumnRenamed("row", "rep"), "rep").select("hub", "chunk", "kind", "rep", "text")
@@ -202,8 +203,8 @@ def link_classes(classes: DataFrame, rows: DataFrame) -> DataFrame:
     members = stored(each.join(maybe_broadcast(shared, shared.count(), 16), "bucket"))
     company = checkpoint(members.groupBy("rep").agg(F.sum("n").alias("company")))
     known = company.count()
-    texts = stored(rows.select("row", "text").join(maybe_broadcast(company.select(F.col("rep").alias("row")), known), "row", "left_semi"))
-    hubs = members.join(maybe_broadcast(company, known, 16), "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub"))
+    texts = stored(rows.select("task", "row", "text").join(on_task(company.select(F.col("rep").alias("row")), "row"), ["task", "row"], "left_semi").select("row", "text"))
+    hubs = stored(members.join(maybe_broadcast(company, known, 16), "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub")))
     with_hub = members.join(hubs, "bucket").where("rep <> hub").select("hub", "rep").distinct()
     done = stored(compare(checkpoint(with_hub), texts, with_rest=True))
     own = company.select("rep", F.col("rep").alias("component"))
@@ -211,8 +212,9 @@ def link_classes(classes: DataFrame, rows: DataFrame) -> DataFrame:
 
     def labelled(labels: DataFrame) -> DataFrame:
         at = done.join(labels, "rep").join(labels.select(F.col("rep").alias("hub"), F.col("component").alias("hub_component")), "hub")
-        at = at.withColumn("outer", F.col("component") != F.col("hub_component"))
-        return at.join(at.groupBy("hub").agg(F.bool_or("outer").alias("open"), F.count(F.lit(1)).alias("n")).where("open and n > 1").select("hub"), "hub")
+        at = stored(at.withColumn("outer", F.col("component") != F.col("hub_component")))
+        opened = at.groupBy("hub").agg(F.bool_or("outer").alias("open"), F.count(F.lit(1)).alias("n")).where("open and n > 1").select("hub")
+        return at.join(stored(opened), "hub")
 
     seen = done.select(*_pair("hub", "rep"))
     left = stored(labelled(labels))
@@ -238,9 +240,8 @@ def link_classes(classes: DataFrame, rows: DataFrame) -> DataFrame:
         seen, found, share = seen.unionByName(pairs), None, 4 * share
 
 
-def _judged(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """Rows of signatures() with component_id, the smallest doc_id of the row's component, and first, whether it is the component's first row."""
-    sig = signatures(docs, whole)
+def _classes(sig: DataFrame) -> tuple[DataFrame, int]:
+    """(set_key, to_id, to_row) of the classes with company, and their number: the first row of the class's component and its doc_id."""
     # the first row of a class or component has its smallest doc_id, and those without one come last
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = sig.where("n_shingles > 0").groupBy("set_key").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
@@ -249,10 +250,7 @@ def _judged(docs: DataFrame, whole: bool = False) -> DataFrame:
     at = classes.select("set_key", "rep", "least", "copies").join(linked, "rep", "left").where("copies > 1 or component is not null")
     at = stored(at.select("set_key", "least", F.coalesce("component", "rep").alias("component")))
     first = at.groupBy("component").agg(F.min("least").alias("least"))
-    to = at.select("set_key", "component").join(first, "component").select("set_key", F.col("least.doc_id").alias("to_id"), F.col("least.row").alias("to_row"))
-    found = sig.join(maybe_broadcast(to, at.count(), 32), "set_key", "left")
-    own = F.col("to_row").isNull()
-    return found.withColumn("component_id", F.when(own, F.col("doc_id")).otherwise(F.col("to_id"))).withColumn("first", own | (F.col("row") == F.col("to_row")))
+    return at.select("set_key", "component").join(first, "component").select("set_key", F.col("least.doc_id").alias("to_id"), F.col("least.row").alias("to_row")), at.count()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -264,7 +262,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked as any others. component_id is null where no row reachable has an id; kept holds for those too. Columns
     beside doc_id and text, whatever their names, are ignored. Long texts are hashed whole, in blocks. An empty table gives no rows.
     """
-    return _judged(docs).select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+    sig = signatures(docs)
+    to, n = _classes(sig)
+    found = sig.select("doc_id", "n_shingles", "set_key").join(maybe_broadcast(to, n, 32), "set_key", "left")
+    component = F.when(F.col("to_row").isNull(), F.col("doc_id")).otherwise(F.col("to_id"))
+    return found.withColumn("component_id", component).select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,10 +278,21 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one row of each component stays, the one with the smallest doc_id, those without an id last.
 
     Rows are told apart by their place in the table, so different texts under one doc_id stay when nothing resembles them.
-    Null and blank texts stay; an empty table stays empty; all columns pass through under any names.
+    Only numbers of the rows that go are dealt, to where the rows lie; texts don't move. Null and blank texts stay; an empty table stays empty; all columns pass through under any names.
     """
-    kept = _judged(docs, whole=True).where("first")
+    sig = signatures(docs, whole=True)
+    to, n = _classes(sig)
+    gone = sig.select("row", "set_key").join(maybe_broadcast(to, n, 32), "set_key").where("row <> to_row").select("row")
+    kept = sig.join(on_task(gone, "row"), ["task", "row"], "left_anti")
     return kept.select(*[F.col("text").cast(docs.schema["text"].dataType).alias("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
-__all__ = ["SHINGLE", "compare", "connected_components", "near_duplicates", "op1_near_dedup", "signatures", "stage"]
+OP1_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT doc_id, len(s) AS n_shingles, component_id, component_id = doc_id AS kept FROM s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) USING (doc_id)"""
+
+
+__all__ = ["OP1_SQL", "SHINGLE", "compare", "connected_components", "near_duplicates", "op1_near_dedup", "signatures", "stage"]

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from .ann import op7_nearest
+from .ann import OP7_SQL, op7_nearest
 from .bag_search import OP12_SQL, op12_bag_search
 from .collocations import OP13_SQL, op13_collocations
 from .decontaminate import op8_decontaminate
 from .exact_dedup import OP11_SQL, op11_exact_dedup
 from .language_id import op2_language
 from .license_scan import op6_licenses
-from .near_dedup import op1_near_dedup
+from .near_dedup import OP1_SQL, op1_near_dedup
 from .packing import op9_packing
 from .secret_scan import op3_secrets
 from .sharding import op4_sharding
@@ -33,4 +33,4 @@ QUERIES = {
 }
 
 #: The others use hashes, a fitted model, a tokenizer or a graph, and are tested against brute force.
-ORACLES: dict[str, str] = {"op11_exact_dedup": OP11_SQL, "op12_bag_search": OP12_SQL, "op13_collocations": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op7_nearest": OP7_SQL, "op11_exact_dedup": OP11_SQL, "op12_bag_search": OP12_SQL, "op13_collocations": OP13_SQL}
