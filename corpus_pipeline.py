@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontaminate, near_dedup, packing, secret_scan, toxicity
-from corpusloom.llm.common import shared_dir, table
+from corpusloom.llm.common import table, work_dir
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -24,7 +22,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents; each result is written as Parquet in the shared folder and read as the next one's documents."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = work_dir(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
