@@ -55,6 +55,28 @@ def test_all_documents_as_queries_read_few_postings(spark):
     assert index.read_rows < 0.1 * 1000 * 1000
 
 
+@pytest.mark.parametrize("cells", [1, 50, 1 << 20])
+def test_tasks_score_their_own_documents(spark, sf, monkeypatch, cells):
+    """No row for each query and document is dealt; slices, and the way by shuffles for very many queries, give the same."""
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    docs = load(spark, sf, "documents").limit(60).unionByName(load(spark, sf, "documents").limit(30).withColumn("doc_id", F.col("doc_id") + 1000)).repartition(5)
+    asked = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    for topk in (retrieval.bm25_topk, retrieval.fts_topk):
+        got = topk(asked, docs, 4)
+        assert "HashAggregate(keys=[query_id" not in got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(map(tuple, got.collect()))
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "ASKED_BYTES", 0)
+            assert rows == sorted(map(tuple, topk(asked, docs, 4).collect())) and len(rows) > 100
+
+
+def test_documents_are_told_by_any_kind_of_id_and_no_query_asks(spark):
+    docs = spark.createDataFrame([("b", "cat"), ("a", "cat"), ("c", None)], "doc_id string, text string")
+    asked = spark.createDataFrame([(1, "cat dog"), (2, None)], "query_id long, text string")
+    assert [r["doc_id"] for r in retrieval.bm25_topk(asked, docs).orderBy("rank").collect()] == ["a", "b"]
+    assert retrieval.bm25_topk(asked.where("text IS NULL"), docs).count() == 0 == retrieval.bm25_topk(asked, docs.limit(0)).count()
+
+
 @pytest.mark.parametrize("kind", ["hash", "text"])
 def test_places_of_hashed_ids(spark, kind):
     ids = spark.range(5000).select(F.xxhash64("id").alias("doc_id")).dropDuplicates()
