@@ -139,6 +139,27 @@ def test_streamed_snapshots_end_like_one_batch(spark, folder):
     assert held(t, "chunks") == held(whole, "chunks") and t.log().select("batch").distinct().count() == 2
 
 
+def test_no_task_writes_or_reads_a_part_alone(spark, folder):
+    rows = spark.range(0, 900, 1, 3).select("id", (F.col("id") % 2).alias("part")).unionByName(spark.range(1).select(F.lit(-1).alias("id"), F.lit(2).alias("part")))
+    at, got = folder("in"), []
+    stream = jobs.arrive(rows, F.col("part"), 3, at)
+    assert spark.read.parquet(f"{at}/*").where("__row AND part = 0").select(F.input_file_name()).distinct().count() > 1
+    jobs.sync(stream, lambda b, n: got.append((n, sorted(r["id"] for r in b.collect()))), folder("state"))
+    assert got == [(0, list(range(0, 900, 2))), (1, list(range(1, 900, 2))), (2, [-1])]
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, folder):
+    path = folder("snap")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        t = snapshots.Snapshots(spark, path, "doc_id long, line_no long, text string", 1)
+        t._write("chunks", spark.range(0, 20_000, 1, 8).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("line_no"), F.sha2(F.col("id").cast("string"), 512).alias("text")), 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(spark.read.parquet(f"{path}/chunks").inputFiles()) > 1 and spark.read.parquet(f"{path}/chunks").count() == 20_000
+
+
 def test_published_tables_come_in_order_and_whole(spark, folder):
     a, b, c = (spark.createDataFrame([(i, f"{n}{i}") for i in range(20)], "id long, x string") for n in "abc")
     p = publish.Publisher(spark, folder("pub"))
