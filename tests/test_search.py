@@ -57,7 +57,7 @@ def test_all_documents_as_queries_read_few_postings(spark):
 
 @pytest.mark.parametrize("cells", [1, 50, 1 << 20])
 def test_tasks_score_their_own_documents(spark, sf, monkeypatch, cells):
-    """No row for each query and document is dealt; slices, and the way by shuffles for very many queries, give the same."""
+    """No row for each query and document is dealt; slices, and blocks of queries, give the same."""
     monkeypatch.setattr(retrieval, "CELLS", cells)
     docs = load(spark, sf, "documents").limit(60).unionByName(load(spark, sf, "documents").limit(30).withColumn("doc_id", F.col("doc_id") + 1000)).repartition(5)
     asked = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -66,8 +66,20 @@ def test_tasks_score_their_own_documents(spark, sf, monkeypatch, cells):
         assert "HashAggregate(keys=[query_id" not in got._jdf.queryExecution().executedPlan().toString()
         rows = sorted(map(tuple, got.collect()))
         with monkeypatch.context() as m:
-            m.setattr(retrieval, "ASKED_BYTES", 0)
+            m.setattr(retrieval, "ASKED_BYTES", 64 * 500)
             assert rows == sorted(map(tuple, topk(asked, docs, 4).collect())) and len(rows) > 100
+    index = retrieval.bm25_index(docs)
+    assert ranked(retrieval.bm25_topk(asked, docs, 4)) == ranked(retrieval.bm25_topk(asked, docs, 4, index))
+
+
+def test_all_documents_ask_without_an_index(spark, sf, monkeypatch):
+    """Many queries go in blocks, and copies of a first sentence are asked once; the index gives the same."""
+    docs = load(spark, sf, "documents").unionByName(load(spark, sf, "documents").limit(20).withColumn("doc_id", F.col("doc_id") + 1000)).withColumn("text", F.when(F.col("doc_id") != 7, F.col("text")))
+    index = lexical_index.build(docs, work_dir(spark, "index"))
+    want = sorted(map(tuple, evaluate.hard_negatives(docs, index).collect()))
+    monkeypatch.setattr(retrieval, "ASKED_BYTES", 64 * 700)
+    monkeypatch.setattr(lexical_index, "build", None)
+    assert sorted(map(tuple, evaluate.hard_negatives(docs).collect())) == want and len(want) == 220
 
 
 def test_documents_are_told_by_any_kind_of_id_and_no_query_asks(spark):
