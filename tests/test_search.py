@@ -55,6 +55,25 @@ def test_all_documents_as_queries_read_few_postings(spark):
     assert index.read_rows < 0.1 * 1000 * 1000
 
 
+@pytest.mark.parametrize("cells", [1, 1 << 20])
+def test_index_passes_on_k_rows_of_a_query_and_shard(spark, monkeypatch, cells):
+    """Every query has words of every document, but no row for each of these pairs is written; shards and slices give the same."""
+    monkeypatch.setattr(lexical_index, "SHARD", 700)
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    monkeypatch.setattr(lexical_index, "FIRST", 8)
+    d = spark.createDataFrame([(i, f"the of word{i % 50} word{i}" + " of" * (i % 7)) for i in range(600)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, f"the of of word{i} nowhere") for i in range(40)] + [(40, None), (41, "nowhere")], "query_id long, text string")
+    index = lexical_index.build(d, work_dir(spark, "index"), 2)
+    shards = index.postings.select("shard").distinct().count()
+    written, stored = [], lexical_index.stored
+    monkeypatch.setattr(lexical_index, "stored", lambda df: written.append(stored(df)) or written[-1])
+    assert ranked(index.topk(q, 3)) == ranked(retrieval.bm25_topk(q, d, 3)) and shards > 3
+    assert max(x.count() for x in written) <= 40 * 3 * shards + shards
+    assert index.topk(q.where("query_id > 39"), 3).count() == 0 == index.topk(q.limit(0), 3).count()
+    monkeypatch.setattr(retrieval, "ASKED_BYTES", 64 * 50)
+    assert ranked(index.topk(q, 3)) == ranked(retrieval.bm25_topk(q, d, 3))
+
+
 @pytest.mark.parametrize("cells", [1, 50, 1 << 20])
 def test_tasks_score_their_own_documents(spark, sf, monkeypatch, cells):
     """No row for each query and document is dealt; slices, and blocks of queries, give the same."""
