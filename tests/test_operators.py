@@ -54,6 +54,15 @@ def test_bm25_against_the_formula(spark, tables, tmp_path, stored):
     assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in brute_bm25()] and np.allclose([g[2] for g in got], [w[2] for w in brute_bm25()])
 
 
+def test_full_text_counts_are_whole_numbers(spark):
+    """14 terms found 104 times stay 104: rounded to nine places, 14 * 2**32 + 104 falls below itself."""
+    terms = [f"word{i}" for i in range(14)]
+    docs = spark.createDataFrame([(i, " ".join(terms + ["word0"] * i)) for i in range(200)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, " ".join(terms))], "query_id long, text string")
+    got = retrieval.fts_topk(asked, docs, 200).orderBy("rank").collect()
+    assert [(r["doc_id"], r["matched"], r["tf"]) for r in got] == [(i, 14, 14 + i) for i in range(199, -1, -1)]
+
+
 def test_hooks_replace_tokenizer_scorer_and_encoder(spark, tables):
     queries, docs = tables
     whole = lambda c: F.array(c)
