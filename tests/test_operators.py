@@ -63,6 +63,15 @@ def test_full_text_counts_are_whole_numbers(spark):
     assert [(r["doc_id"], r["matched"], r["tf"]) for r in got] == [(i, 14, 14 + i) for i in range(199, -1, -1)]
 
 
+def test_engine_ranks_by_whole_counts(spark):
+    """Both documents hold all 14 terms, one of them once more often; the larger number stands first, whatever its id."""
+    terms = [f"word{i}" for i in range(14)]
+    docs = spark.createDataFrame([(i, " ".join(terms + ["word0"] * i)) for i in (89, 90)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, " ".join(terms))], "query_id long, text string")
+    got = retrieval.sparse_topk(asked, docs).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(1, 90, 1, "fts"), (1, 89, 2, "fts")]
+
+
 def test_hooks_replace_tokenizer_scorer_and_encoder(spark, tables):
     queries, docs = tables
     whole = lambda c: F.array(c)
