@@ -72,6 +72,15 @@ def test_engine_ranks_by_whole_counts(spark):
     assert [tuple(r) for r in got] == [(1, 90, 1, "fts"), (1, 89, 2, "fts")]
 
 
+def test_overlap_with_a_cut_between_whole_counts(spark):
+    """Full text's first is the document with one occurrence more, which the other engine has too."""
+    terms = [f"word{i}" for i in range(14)]
+    docs = spark.createDataFrame([(i, " ".join(terms + ["word0"] * i)) for i in (89, 90)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, " ".join(terms))], "query_id long, text string")
+    ranked = spark.createDataFrame([(1, 90, 1)], "query_id long, doc_id long, rank int")
+    assert [tuple(r) for r in retrieval.overlap(ranked, retrieval.fts_topk(asked, docs, 1)).collect()] == [(1, 1, 1)]
+
+
 def test_hooks_replace_tokenizer_scorer_and_encoder(spark, tables):
     queries, docs = tables
     whole = lambda c: F.array(c)
