@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import analytics as A
 from corpusloom.operators import cache as C
-from corpusloom.operators import chunking, retrieval, sync, vectors
+from corpusloom.operators import chunking, evaluate, pruned, retrieval, sync, vectors
 from corpusloom.streaming import jobs
 
 DOCS = [(1, "the cat sat on the mat"), (2, "dogs and cats"), (3, "cat cat cat dog"), (4, None), (5, "bird")]
@@ -81,6 +81,46 @@ def test_overlap_with_a_cut_between_whole_counts(spark):
     assert [tuple(r) for r in retrieval.overlap(ranked, retrieval.fts_topk(asked, docs, 1)).collect()] == [(1, 1, 1)]
 
 
+@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("k", [1, 3])
+def test_pruned_search_gives_what_a_scan_gives(spark, monkeypatch, small, k):
+    """Frequent and rare words, copies, empty texts, words said often; slices, classes, chunks, blocks and groups of any size give the same."""
+    if small:
+        for name, value in {"HELD": 300, "CLASSES": 5, "CHUNK": 20, "ROWS": 150, "WORDS": 100, "SEEDS": 2, "HEAVIEST": 1}.items():
+            monkeypatch.setattr(pruned, name, value)
+        monkeypatch.setattr(retrieval, "CELLS", 50)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 150}" for _ in range(rng.choice([0, 1, 3, 10, 40, 150]))) for _ in range(250)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:20] + [None])), "doc_id long, text string").repartition(3)
+    asked = docs.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 30).alias("text")).unionByName(spark.createDataFrame([(1000, "nowhere w1 w1 w2"), (1001, "nowhere")], "query_id long, text string"))
+    ours, theirs = (sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 8)) for r in f(asked, docs, k).collect()) for f in (pruned.bm25_topk, retrieval.bm25_topk))
+    assert ours == theirs and len(ours) > 200
+    assert pruned.bm25_topk(asked.limit(0), docs, k).count() == 0 == pruned.bm25_topk(asked, docs.limit(0), k).count()
+
+
+def test_hard_negatives_split_texts_once(spark, sf, monkeypatch):
+    """However many blocks the first sentences make."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(retrieval, "ASKED_BYTES", 64 * 300)
+    monkeypatch.setattr(pruned, "ROWS", 300)
+    split, numbered = [], retrieval._numbered
+    monkeypatch.setattr(retrieval, "_numbered", lambda *a: split.append(1) or numbered(*a))
+    assert evaluate.hard_negatives(docs).count() == docs.count() and len(split) == 1
+
+
+def test_pruned_search_reads_few_postings(monkeypatch):
+    """3,000 documents hold the same ten words and one rare one each three of them share; a query of all eleven reads next to nothing but its three."""
+    n = 3000
+    term = np.concatenate([np.append(np.arange(10), 10 + i % 1000) for i in range(n)])
+    times = np.append(np.full(10, 0.01), 6.0)
+    asked = pruned._Asked(np.arange(n + 1) * 11, term, np.tile(times, n), 1010)
+    read, runs = [], pruned._runs
+    monkeypatch.setattr(pruned, "_runs", lambda first, many: read.append(int(many.sum())) or runs(first, many))
+    query, score, doc = pruned._above(asked, pruned._Floor(np.full(n, 6.0), 2), 4, 1 << 18, 1 << 20, np.full(n, 11), term, np.ones(11 * n))
+    assert sorted(zip(query.tolist(), doc.tolist(), strict=True)) == sorted((q, d) for q in range(n) for d in range(q % 1000, n, 1000))
+    assert np.allclose(score, 6.1) and sum(read) < 0.01 * n * n * 11
+
+
 def test_hooks_replace_tokenizer_scorer_and_encoder(spark, tables):
     queries, docs = tables
     whole = lambda c: F.array(c)
