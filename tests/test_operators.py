@@ -81,6 +81,25 @@ def test_overlap_with_a_cut_between_whole_counts(spark):
     assert [tuple(r) for r in retrieval.overlap(ranked, retrieval.fts_topk(asked, docs, 1)).collect()] == [(1, 1, 1)]
 
 
+@pytest.mark.parametrize("terms", [0, 3, 1000])
+def test_index_deals_no_postings_of_frequent_terms(spark, monkeypatch, terms):
+    """None at all if the broadcast holds all terms. Rows of one id are one document; one without id counts, but isn't told of."""
+    monkeypatch.setattr(retrieval, "ASKED_BYTES", 64 * terms)
+    rows = [(1, "the cat the"), (2, "the dog"), (1, "the owl cat"), (3, None), (4, ""), (None, "the fox"), (5, "the-cat of cat")]
+    got = retrieval.bm25_index(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert terms < 1000 or "hashpartitioning" not in plan
+    docs = {}
+    for d, t in rows:
+        docs.setdefault(d, []).extend((t or "").split())
+    df = {w: sum(w in ws for ws in docs.values()) for ws in docs.values() for w in ws}
+    want = sorted((d, w, ws.count(w), df[w], len(ws)) for d, ws in docs.items() if d for w in set(ws))
+    assert sorted((r["doc_id"], r["term"], r["tf"], r["df"], r["len"]) for r in got.collect()) == want
+    mean = sum(map(len, docs.values())) / len(rows)
+    assert all(abs(r["avgdl"] - mean) < 1e-9 and abs(r["idf"] - math.log(1 + (7 - r["df"] + 0.5) / (r["df"] + 0.5))) < 1e-9 for r in got.collect())
+    assert retrieval.bm25_index(got.select("doc_id", F.lit(None).cast("string").alias("text")).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("small", [False, True])
 @pytest.mark.parametrize("k", [1, 3])
 def test_pruned_search_gives_what_a_scan_gives(spark, monkeypatch, small, k):
